@@ -1,9 +1,10 @@
-"""Left joins against small-per-key lookups that survive hot keys."""
+"""Left joins against a keyed lookup that survive hot keys on the left."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1024
 
 
-def _same(keys: Sequence[str], prefix: str) -> Column:
-    return reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys]
-    )
+def _equal(keys: Sequence[str], prefix: str) -> Column:
+    return reduce(and_, [F.col(k) == F.col(prefix + k) for k in keys])
 
 
 def left_lookup(
@@ -26,41 +25,39 @@ def left_lookup(
     weight: str | None = None,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Add the lookup's columns to ``left``; NULL keys match NULL keys.
+    """Add the lookup's columns to ``left``; as in SQL, a NULL key matches nothing.
 
     ``weight`` names the lookup column that tells how many left rows have the
     key (the lookup then has one row per key); without it the left side is
     counted first. The heaviest ``hot_keys`` keys are joined by broadcasting
-    their lookup rows, a number fixed in advance. Their left rows then travel
-    through the shuffle join hashed on ``spread_by`` instead of the key, so no
-    task receives a whole hot key; all other keys are joined there as usual.
+    their lookup rows, a number fixed in advance. Their left rows, and those with
+    a NULL key, then pass the second join hashed on ``spread_by`` instead of the
+    key, so no task receives a whole hot key. All other keys are joined there.
     """
     keys = list(keys)
     values = [c for c in lookup.columns if c not in keys and c != weight]
     if weight is None:
         heaviest = (
-            left.groupBy(*keys)
+            left.dropna(subset=keys)
+            .groupBy(*keys)
             .agg(F.count("*").alias("_rows"))
             .orderBy(F.desc("_rows"))
             .limit(hot_keys)
+            .select(*[F.col(k).alias(f"_top_{k}") for k in keys])
         )
-        heaviest = heaviest.select(*[F.col(k).alias(f"_w_{k}") for k in keys])
-        hot = lookup.join(F.broadcast(heaviest), _same(keys, "_w_"), "left_semi")
+        hot = lookup.join(F.broadcast(heaviest), _equal(keys, "_top_"), "left_semi")
     else:
         hot = lookup.orderBy(F.desc(weight)).limit(hot_keys)
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(
-            *[F.col(k).alias(prefix + k) for k in keys],
-            F.struct(*values).alias(prefix),
+            *[F.col(k).alias(prefix + k) for k in keys], F.struct(*values).alias(prefix)
         )
 
-    warm = left.join(F.broadcast(side(hot, "_hot_")), _same(keys, "_hot_"), "left")
+    warm = left.join(F.broadcast(side(hot, "_hot_")), _equal(keys, "_hot_"), "left")
+    settled = F.col("_hot_").isNotNull() | reduce(or_, [F.col(k).isNull() for k in keys])
     warm = warm.withColumn(
-        "_slot",
-        F.when(F.col("_hot_").isNotNull(), F.xxhash64(spread_by)).otherwise(
-            F.xxhash64(*keys)
-        ),
+        "_slot", F.when(settled, F.xxhash64(spread_by)).otherwise(F.xxhash64(*keys))
     )
     cold = side(lookup, "_cold_").withColumn(
         "_cold_slot", F.xxhash64(*[f"_cold_{k}" for k in keys])
@@ -69,7 +66,7 @@ def left_lookup(
         cold,
         (F.col("_slot") == F.col("_cold_slot"))
         & F.col("_hot_").isNull()
-        & _same(keys, "_cold_"),
+        & _equal(keys, "_cold_"),
         "left",
     )
     return joined.select(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laureate.fixed import DEFAULT_GATES, Gates
 from laureate.functions.labels import era_label, era_order
 from laureate.functions.numbers import mean, pct_at_least, score_gap
+from laureate.operators.lookup import left_lookup
 
 
 def min_size(df: DataFrame, size: str, at_least: int) -> DataFrame:
@@ -15,6 +18,14 @@ def min_size(df: DataFrame, size: str, at_least: int) -> DataFrame:
     return df.filter(F.col(size) >= at_least)
 
 
+def with_group_size(
+    df: DataFrame, within: Sequence[str], name: str, spread_by: str
+) -> DataFrame:
+    """Add the size of each row's group; NULL where a group column is NULL."""
+    sizes = df.groupBy(*within).agg(F.count("*").alias(name), F.count("*").alias("_rows"))
+    return left_lookup(df, sizes, within, spread_by, weight="_rows")
+
+
 def year_profile(
     titles: DataFrame, gates: Gates = DEFAULT_GATES, denominator: str = "all"
 ) -> DataFrame:
@@ -50,32 +61,17 @@ def distinct_genres(titles: DataFrame) -> DataFrame:
 
 def era_stats(games: DataFrame) -> DataFrame:
     """Figures of each era over its categorised games."""
-    return era_stats_grouped(
-        games.select(
-            "era_label", "era_sort_order", "genre", "critic_score",
-            F.lit(1).cast("bigint").alias("rows"),
-            F.col("is_vr").cast("bigint").alias("flagged_rows"),
-            F.col("release_year").alias("first_year"),
-            F.col("release_year").alias("last_year"),
-        )
-    )
-
-
-def era_stats_grouped(groups: DataFrame) -> DataFrame:
-    """As ``era_stats`` from rows that stand for several equally scored games."""
     return (
-        groups.filter(F.col("genre").isNotNull())
+        games.filter(F.col("genre").isNotNull())
         .groupBy("era_label", "era_sort_order")
         .agg(
-            F.sum("rows").alias("era_qualified_games"),
-            F.round(
-                F.sum(F.col("critic_score") * F.col("rows")).cast("double") / F.sum("rows"), 1
-            ).alias("era_avg_score"),
+            F.count("*").alias("era_qualified_games"),
+            mean(F.col("critic_score"), 1).alias("era_avg_score"),
             F.max("critic_score").alias("era_peak_score"),
             F.count_distinct("genre").alias("era_distinct_genres"),
-            F.min("first_year").alias("era_start_year"),
-            F.max("last_year").alias("era_end_year"),
-            F.sum("flagged_rows").alias("era_vr_games"),
+            F.min("release_year").alias("era_start_year"),
+            F.max("release_year").alias("era_end_year"),
+            F.count_if("is_vr").alias("era_vr_games"),
         )
     )
 

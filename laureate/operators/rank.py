@@ -17,9 +17,10 @@ from laureate.operators.lookup import left_lookup
 class Contest:
     """A dense rank to compute: who takes part, in which groups, by what.
 
-    ``order`` lists non-NULL numeric columns, compared from high to low.
-    Groups with fewer than ``min_size`` participants are not ranked. ``size``
-    names an extra output column with the number of participants.
+    ``order`` lists non-NULL numeric columns, compared from high to low. Rows
+    with a NULL in a ``within`` column do not take part. Groups with fewer than
+    ``min_size`` participants are not ranked. ``size`` names an extra output
+    column with the number of participants.
     """
 
     rank: str
@@ -33,79 +34,79 @@ class Contest:
 ROWS = "_rows"
 
 
-def score_profile(
-    df: DataFrame, contests: Sequence[Contest], extra: Sequence[Column] = ()
-) -> DataFrame:
+def score_profile(df: DataFrame, contests: Sequence[Contest]) -> DataFrame:
     """Distinct combinations of everything the contests look at, with row counts.
 
     Rows that tie in every respect fold into one inside each task, so a tie of
     any size costs one row per task in the shuffle.
     """
-    keys = _profile_keys(contests)
     return (
-        _with_parts(df, contests)
-        .groupBy(*keys)
-        .agg(F.count("*").alias(ROWS), *extra)
+        _with_keys(df, contests)
+        .groupBy(*_profile_keys(contests))
+        .agg(F.count("*").alias(ROWS))
     )
 
 
 def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame:
     """The profile's rows that take part in a contest, with their ranks.
 
-    A window over a whole group would sort the group in one task. Here the rank
-    is counted level by level instead: each window only orders the distinct
-    values of one order column among rows equal in all columns before it, and
-    the number of places above comes from sums over the level before.
+    A window over a whole group would sort all its rows in one task. Here a step
+    is what is equal in all order columns but the last. One window orders the
+    distinct last values within a step; a second one runs over one row per step
+    and adds up the places of the steps above. Choose the order columns so that
+    neither gets long: a coarse version of a wide column before the column itself
+    shortens the steps.
     """
     keys = _profile_keys(contests)
-    groups = list(dict.fromkeys(c for contest in contests for c in contest.within))
+    groups = _group_columns(contests)
     depth = max(len(c.order) for c in contests)
-    g = [f"_g{i}" for i in range(len(groups))]
-    o = [f"_o{i}" for i in range(depth)]
-
     # A contest with fewer order columns is padded, so levels need one type each.
     types = [
         next(profile.schema[c.order[j]].dataType for c in contests if len(c.order) > j)
         for j in range(depth)
     ]
-
-    entries = []
-    for i, contest in enumerate(contests):
-        entries.append(
-            F.struct(
-                F.lit(i).alias("_contest"),
-                F.col(_part(i)).alias("_in"),
-                *[
-                    (
-                        F.coalesce(F.col(c).cast("string"), F.lit(""))
-                        if c in contest.within
-                        else F.lit("")
-                    ).alias(name)
-                    for c, name in zip(groups, g)
-                ],
-                *[
-                    (F.col(contest.order[j]) if j < len(contest.order) else F.lit(0))
-                    .cast(types[j])
-                    .alias(name)
-                    for j, name in enumerate(o)
-                ],
-            )
+    g = [f"_g{i}" for i in range(len(groups))]
+    o = [f"_o{j}" for j in range(depth)]
+
+    def entry(i: int, contest: Contest) -> Column:
+        own_groups = [F.col(_group(c)) if c in contest.within else F.lit("") for c in groups]
+        own_order = [
+            (F.col(contest.order[j]) if j < len(contest.order) else F.lit(0)).cast(types[j])
+            for j in range(depth)
+        ]
+        return F.struct(
+            F.lit(i).alias("_contest"),
+            F.col(_part(i)).alias("_in"),
+            *[c.alias(name) for c, name in zip(own_groups + own_order, g + o)],
         )
+
+    entries = [entry(i, c) for i, c in enumerate(contests)]
     rows = (
         profile.select(*keys, ROWS, F.explode(F.array(*entries)).alias("_e"))
         .select(*keys, ROWS, "_e.*")
         .filter("_in")
     )
     group = ["_contest", *g]
-    prefix = group + o[:-1]
+    step = group + o[:-1]
     local = rows.withColumn(
-        "_local",
-        F.dense_rank().over(Window.partitionBy(*prefix).orderBy(F.desc(o[-1]))),
+        "_local", F.dense_rank().over(Window.partitionBy(*step).orderBy(F.desc(o[-1])))
+    )
+    all_steps = Window.partitionBy(*group)
+    higher_steps = all_steps.orderBy(*[F.desc(c) for c in o[:-1]]).rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    sizes = local.groupBy(*prefix).agg(
-        F.max("_local").alias("_places"), F.sum(ROWS).alias("_members")
+    steps = (
+        local.groupBy(*step)
+        .agg(F.max("_local").alias("_places"), F.sum(ROWS).alias("_members"))
+        .select(
+            *step,
+            F.coalesce(F.sum("_places").over(higher_steps), F.lit(0)).alias("_above"),
+            F.sum("_members").over(all_steps).alias("_group_members"),
+        )
     )
-    placed = local.join(_places_above(sizes, group, o[:-1]), prefix)
+    # Every row has its step. A left join adds no NULL filter to one of the two
+    # uses of ``local``, so Spark shuffles it once for both.
+    placed = local.join(steps, step, "left")
 
     columns = []
     for i, contest in enumerate(contests):
@@ -118,39 +119,14 @@ def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame
     return placed.groupBy(*keys).agg(F.max(ROWS).alias(ROWS), *columns)
 
 
-def _places_above(sizes: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Per group and order prefix: how many places lie above it in the group."""
-    if not order:
-        return sizes.select(
-            *group, F.lit(0).cast("bigint").alias("_above"),
-            F.col("_members").alias("_group_members"),
-        )
-    outer = group + order[:-1]
-    ahead = Window.partitionBy(*outer).orderBy(F.desc(order[-1])).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    here = sizes.select(
-        *outer, order[-1],
-        F.coalesce(F.sum("_places").over(ahead), F.lit(0)).alias("_ahead"),
-    )
-    totals = sizes.groupBy(*outer).agg(
-        F.sum("_places").alias("_places"), F.sum("_members").alias("_members")
-    )
-    return here.join(_places_above(totals, group, order[:-1]), outer).select(
-        *outer, order[-1],
-        (F.col("_above") + F.col("_ahead")).alias("_above"),
-        "_group_members",
-    )
-
-
 def attach_ranks(
     df: DataFrame, ranked: DataFrame, contests: Sequence[Contest], spread_by: str
 ) -> DataFrame:
     """Bring the profile's ranks back to the rows; ties may be of any size."""
-    parts = [_part(i) for i in range(len(contests))]
-    return left_lookup(
-        _with_parts(df, contests), ranked, _profile_keys(contests), spread_by, weight=ROWS
-    ).drop(*parts)
+    keys = _profile_keys(contests)
+    keyed = _with_keys(df, contests)
+    added = [c for c in keyed.columns if c not in df.columns]
+    return left_lookup(keyed, ranked, keys, spread_by, weight=ROWS).drop(*added)
 
 
 def dense_ranks(df: DataFrame, contests: Sequence[Contest], spread_by: str) -> DataFrame:
@@ -163,19 +139,33 @@ def _part(i: int) -> str:
     return f"_part{i}"
 
 
-def _with_parts(df: DataFrame, contests: Sequence[Contest]) -> DataFrame:
-    return df.withColumns(
-        {
-            _part(i): F.lit(True) if c.takes_part is None
-            else F.coalesce(c.takes_part, F.lit(False))
-            for i, c in enumerate(contests)
-        }
-    )
+def _group(column: str) -> str:
+    return f"_group_{column}"
+
+
+def _group_columns(contests: Sequence[Contest]) -> list[str]:
+    return list(dict.fromkeys(c for contest in contests for c in contest.within))
+
+
+def _with_keys(df: DataFrame, contests: Sequence[Contest]) -> DataFrame:
+    """Add who takes part, and the group columns without NULLs."""
+    parts = {}
+    for i, contest in enumerate(contests):
+        taking = F.lit(True) if contest.takes_part is None else contest.takes_part
+        for c in contest.within:
+            taking = taking & F.col(c).isNotNull()
+        parts[_part(i)] = F.coalesce(taking, F.lit(False))
+    groups = {
+        _group(c): F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for c in _group_columns(contests)
+    }
+    return df.withColumns({**parts, **groups})
 
 
 def _profile_keys(contests: Sequence[Contest]) -> list[str]:
-    keys = [c for contest in contests for c in (*contest.within, *contest.order)]
-    return list(dict.fromkeys(keys)) + [_part(i) for i in range(len(contests))]
+    order = list(dict.fromkeys(c for contest in contests for c in contest.order))
+    groups = [_group(c) for c in _group_columns(contests)]
+    return [*groups, *order, *[_part(i) for i in range(len(contests))]]
 
 
 def is_first(rank: str) -> Column:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from laureate.fixed import DEFAULT_GATES, Gates
 from laureate.functions.numbers import score_gap
-from laureate.operators.metrics import era_stats_grouped
+from laureate.operators.metrics import era_stats
 from laureate.operators.rank import (
-    ROWS,
     Contest,
     attach_ranks,
     is_first,
@@ -69,25 +68,15 @@ def flagged_contest(gates: Gates = DEFAULT_GATES) -> Contest:
 def champions_report(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> DataFrame:
     """One row per qualifying title, with its ranks and its era's figures.
 
-    The titles are folded into a profile of distinct scores; ranks, group sizes
-    and era figures all come from it and are joined back.
+    The titles are folded into a profile of distinct scores; ranks and group
+    sizes are worked out on the profile and joined back.
     """
     contests = (era_contest(), genre_contest(options.gates), flagged_contest(options.gates))
     base = with_rank_keys(written_once(games(inputs, options), "champion-games"))
-    profile = score_profile(
-        base,
-        contests,
-        extra=[
-            F.min("era_sort_order").alias("era_sort_order"),
-            F.count_if("is_vr").alias("flagged_rows"),
-            F.min("release_year").alias("first_year"),
-            F.max("release_year").alias("last_year"),
-        ],
-    )
-    eras = era_stats_grouped(profile.withColumn("rows", F.col(ROWS))).drop("era_sort_order")
-    ranked = attach_ranks(
-        base, ranked_profile(profile, contests), contests, spread_by="game_key"
-    )
+    profile = score_profile(base, contests)
+    ranks = written_once(ranked_profile(profile, contests), "champion-ranks")
+    ranked = attach_ranks(base, ranks, contests, spread_by="game_key")
+    eras = era_stats(base).drop("era_sort_order")
     # One row per era label, of which there are ten.
     return (
         ranked.join(F.broadcast(eras), "era_label", "left")
