@@ -9,6 +9,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laureate.operators.reuse import written_once
+
 # A key left out of the broadcast side holds less than 1/HOT_KEYS of all rows.
 HOT_KEYS = 1024
 
@@ -33,8 +35,12 @@ def left_lookup(
     their lookup rows, a number fixed in advance. Their left rows, and those with
     a NULL key, then pass the second join hashed on ``spread_by`` instead of the
     key, so no task receives a whole hot key. All other keys are joined there.
+
+    The lookup is read twice; where the cluster has a shared folder it is worked
+    out once and, being a table of known size then, broadcast when small enough.
     """
     keys = list(keys)
+    lookup = written_once(lookup, "lookup")
     values = [c for c in lookup.columns if c not in keys and c != weight]
     if weight is None:
         heaviest = (

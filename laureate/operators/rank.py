@@ -119,20 +119,19 @@ def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame
     return placed.groupBy(*keys).agg(F.max(ROWS).alias(ROWS), *columns)
 
 
-def attach_ranks(
-    df: DataFrame, ranked: DataFrame, contests: Sequence[Contest], spread_by: str
-) -> DataFrame:
-    """Bring the profile's ranks back to the rows; ties may be of any size."""
-    keys = _profile_keys(contests)
-    keyed = _with_keys(df, contests)
-    added = [c for c in keyed.columns if c not in df.columns]
-    return left_lookup(keyed, ranked, keys, spread_by, weight=ROWS).drop(*added)
-
-
 def dense_ranks(df: DataFrame, contests: Sequence[Contest], spread_by: str) -> DataFrame:
-    """Add the contests' ranks (and sizes) to every row; NULL where not ranked."""
+    """Add the contests' ranks (and sizes) to every row; NULL where not ranked.
+
+    The ranks are worked out on the profile and looked up by each row, where a
+    tie may be of any size. ``df`` is read twice, so pass a table or the result
+    of ``written_once``.
+    """
     ranked = ranked_profile(score_profile(df, contests), contests)
-    return attach_ranks(df, ranked, contests, spread_by)
+    keyed = _with_keys(df, contests)
+    added = [c for c in keyed.columns if c not in df.columns]
+    return left_lookup(
+        keyed, ranked, _profile_keys(contests), spread_by, weight=ROWS
+    ).drop(*added)
 
 
 def _part(i: int) -> str:

@@ -8,13 +8,7 @@ from pyspark.sql import functions as F
 from laureate.fixed import DEFAULT_GATES, Gates
 from laureate.functions.numbers import score_gap
 from laureate.operators.metrics import era_stats
-from laureate.operators.rank import (
-    Contest,
-    attach_ranks,
-    is_first,
-    ranked_profile,
-    score_profile,
-)
+from laureate.operators.rank import Contest, dense_ranks, is_first
 from laureate.operators.reuse import written_once
 from laureate.plans.base import DEFAULT_OPTIONS, Inputs, Options, games
 from laureate.schemas import CHAMPION_COLUMNS
@@ -68,14 +62,11 @@ def flagged_contest(gates: Gates = DEFAULT_GATES) -> Contest:
 def champions_report(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> DataFrame:
     """One row per qualifying title, with its ranks and its era's figures.
 
-    The titles are folded into a profile of distinct scores; ranks and group
-    sizes are worked out on the profile and joined back.
+    Titles without a genre are ranked in their era, but its figures leave them out.
     """
     contests = (era_contest(), genre_contest(options.gates), flagged_contest(options.gates))
     base = with_rank_keys(written_once(games(inputs, options), "champion-games"))
-    profile = score_profile(base, contests)
-    ranks = written_once(ranked_profile(profile, contests), "champion-ranks")
-    ranked = attach_ranks(base, ranks, contests, spread_by="game_key")
+    ranked = dense_ranks(base, contests, spread_by="game_key")
     eras = era_stats(base).drop("era_sort_order")
     # One row per era label, of which there are ten.
     return (
@@ -95,6 +86,10 @@ def champions_report(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> Data
 
 
 def ordered(report: DataFrame) -> DataFrame:
+    """In display order; the key lets Spark split runs of equal scores."""
     return report.orderBy(
-        "era_sort_order", F.desc("critic_score"), F.coalesce("user_score", F.lit(0.0)).desc()
+        "era_sort_order",
+        F.desc("critic_score"),
+        F.coalesce("user_score", F.lit(0.0)).desc(),
+        "game_key",
     )

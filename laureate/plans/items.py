@@ -34,6 +34,7 @@ def items_report(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> DataFram
 
 
 def ordered(report: DataFrame) -> DataFrame:
+    """In display order; the key lets Spark split runs of equal scores."""
     return report.orderBy(
-        F.desc("critic_score"), F.coalesce("user_score", F.lit(0.0)).desc()
+        F.desc("critic_score"), F.coalesce("user_score", F.lit(0.0)).desc(), "game_key"
     )

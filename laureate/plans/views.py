@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from laureate.fixed import DEFAULT_GATES, ERAS, PRIMARY_SOURCE, Gates
 from laureate.functions.numbers import mean
 from laureate.operators.metrics import genre_era
+from laureate.operators.reuse import written_once
 from laureate.operators.scale import quality_index
 from laureate.operators.trend import place
+from laureate.plans.items import ordered
 
 CHAMPION_FILTERS = {
     "era": lambda: F.col("is_era_champion"),
@@ -39,9 +41,7 @@ def mean_gap(items: DataFrame, by: str) -> DataFrame:
 
 
 def legends(items: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
-    return items.filter(F.col("critic_score") >= gates.champion_score).orderBy(
-        F.desc("critic_score"), F.coalesce("user_score", F.lit(0.0)).desc()
-    )
+    return ordered(items.filter(F.col("critic_score") >= gates.champion_score))
 
 
 def era_ranking(index: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def era_ranking(index: DataFrame) -> DataFrame:
 
 def genres_in_every_era(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
     """Genres with enough games in each era that has any such genre."""
-    present = genre_era(games, gates)
+    present = written_once(genre_era(games, gates), "genre-eras")
     eras = present.agg(F.count_distinct("era_label").alias("eras")).scalar()
     return (
         present.groupBy("genre")

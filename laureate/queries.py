@@ -11,6 +11,7 @@ from laureate import fixed
 from laureate.functions import labels
 from laureate.functions.text import name_key
 from laureate.operators import dedup, enrich, metrics, rank, scale, trend
+from laureate.operators.reuse import written_once
 from laureate.plans import base, champions, index_report, items, timeline, views
 from laureate.sources import trade
 
@@ -30,6 +31,11 @@ def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.games(trade.inputs(spark, sf_dir))
 
 
+def _games_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that read the games more than once."""
+    return written_once(_games(spark, sf_dir), "games")
+
+
 def _genre_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.indexed(metrics.genre_year(_games(spark, sf_dir)))
 
@@ -105,7 +111,7 @@ def q_join_inner_group_gate(spark, sf_dir):
 
 @query
 def q_join_rank_back(spark, sf_dir):
-    rows = champions.with_rank_keys(_games(spark, sf_dir))
+    rows = champions.with_rank_keys(_games_once(spark, sf_dir))
     ranked = rank.dense_ranks(
         rows.filter(F.col("critic_score") >= 80), [champions.genre_contest()], "game_key"
     )
@@ -116,7 +122,7 @@ def q_join_rank_back(spark, sf_dir):
 
 @query
 def q_join_group_stats(spark, sf_dir):
-    rows = _games(spark, sf_dir)
+    rows = _games_once(spark, sf_dir)
     stats = metrics.era_stats(rows).drop("era_sort_order")
     # One row per era label, of which there are ten.
     return rows.select("game_key", "era_label", "genre").join(
@@ -126,8 +132,8 @@ def q_join_group_stats(spark, sf_dir):
 
 @query
 def q_peak_join(spark, sf_dir):
-    rows = _games(spark, sf_dir)
-    years = timeline.indexed(metrics.genre_year(rows))
+    rows = _games_once(spark, sf_dir)
+    years = written_once(timeline.indexed(metrics.genre_year(rows)), "genre-years")
     peaks = rank.peak(
         years, "genre", "genre_quality_index", "release_year", timeline.PEAK_VALUES
     )
@@ -174,7 +180,7 @@ def q_win_rank_global(spark, sf_dir):
 
 
 def _ranked(spark: SparkSession, sf_dir: str, contest: rank.Contest) -> DataFrame:
-    rows = champions.with_rank_keys(_games(spark, sf_dir))
+    rows = champions.with_rank_keys(_games_once(spark, sf_dir))
     ranked = rank.dense_ranks(rows, [contest], spread_by="game_key")
     return ranked.withColumn("is_champion", rank.is_first(contest.rank))
 
