@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-FOLDER_SETTING = "spark.checkpoint.dir"
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, or one set on the context."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def written_once(df: DataFrame, label: str) -> DataFrame:
@@ -17,7 +20,7 @@ def written_once(df: DataFrame, label: str) -> DataFrame:
     returned as it is and Spark reuses what shuffles it can. The files stay
     until removed from the folder.
     """
-    folder = df.sparkSession.conf.get(FOLDER_SETTING, None)
+    folder = shared_folder(df.sparkSession)
     if not folder:
         return df
     path = f"{folder.rstrip('/')}/{label}-{uuid4().hex}"
