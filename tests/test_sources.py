@@ -53,9 +53,15 @@ def test_csv_with_shifted_header_is_refused(spark, tmp_path):
 
 def test_csv_keeps_bad_rows_apart(spark, tmp_path):
     path = csv(tmp_path, "name,hours,owners", "ok,1,2", "short,1", "long,1,2,3", "bad,one,2")
-    got = rows.by(ingest_csv(spark, path, RAW), "name", "_corrupt")
+    table = ingest_csv(spark, path, RAW)
+    got = rows.by(table, "name", "_corrupt")
     assert got == {"ok": None, "short": "short,1", "long": "long,1,2,3", "bad": "bad,one,2"}
-    with pytest.raises(PySparkException):
+    assert table.filter("_corrupt IS NOT NULL").count() == 3
+    assert rows.by(table, "name", "hours")["bad"] is None
+    with pytest.raises(Exception, match="MALFORMED"):
+        ingest_csv(spark, path, RAW, on_bad_row="fail").collect()
+    path = csv(tmp_path, "name,hours,owners", "bad,one,2")
+    with pytest.raises(PySparkException, match="CAST_INVALID_INPUT"):
         ingest_csv(spark, path, RAW, on_bad_row="fail").collect()
     with pytest.raises(ValueError):
         ingest_csv(spark, path, RAW, on_bad_row="drop")
