@@ -19,9 +19,13 @@ def blank_as_null(text: Column, any_whitespace: bool = False) -> Column:
     return F.nullif(trimmed(text, any_whitespace), F.lit(""))
 
 
-def waterfall(*candidates: Column, default: str = UNKNOWN) -> Column:
+def waterfall(
+    *candidates: Column, default: str = UNKNOWN, any_whitespace: bool = False
+) -> Column:
     """First candidate that is neither NULL nor blank, else ``default``."""
-    return F.coalesce(*[blank_as_null(c) for c in candidates], F.lit(default))
+    return F.coalesce(
+        *[blank_as_null(c, any_whitespace) for c in candidates], F.lit(default)
+    )
 
 
 def first_token(text: Column, separator: str = ",") -> Column:
@@ -34,14 +38,16 @@ def match_name(name: Column, any_whitespace: bool = False) -> Column:
     return F.lower(trimmed(name, any_whitespace))
 
 
-def name_key(name: Column, unicode_letters: bool = False) -> Column:
+def name_key(
+    name: Column, unicode_letters: bool = False, any_whitespace: bool = False
+) -> Column:
     """Key for near-identical titles: punctuation ignored as well.
 
     Outside ASCII every letter counts as punctuation, so titles in other scripts
     share the empty key. ``unicode_letters`` keeps letters and digits of all
     scripts, and the title itself where nothing else is left.
     """
-    base = match_name(name)
+    base = match_name(name, any_whitespace)
     if not unicode_letters:
         return F.regexp_replace(base, NAME_KEY_STRIPPED, "")
     kept = F.regexp_replace(base, r"[^\p{L}\p{M}\p{N} ]", "")

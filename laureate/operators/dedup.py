@@ -33,6 +33,7 @@ def best_title(
     titles: DataFrame,
     primary: str = PRIMARY_SOURCE,
     unicode_letters: bool = False,
+    any_whitespace: bool = False,
 ) -> DataFrame:
     """One row per near-identical name and year.
 
@@ -41,7 +42,10 @@ def best_title(
     """
     return keep_first(
         titles,
-        keys=[name_key(F.col("name_raw"), unicode_letters), F.col("release_year")],
+        keys=[
+            name_key(F.col("name_raw"), unicode_letters, any_whitespace),
+            F.col("release_year"),
+        ],
         order=[
             F.when(F.col("source") == primary, 0).otherwise(1),
             F.col("critic_score").desc(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laureate.fixed import DEFAULT_GATES, UNKNOWN, Gates
@@ -108,13 +108,16 @@ def membership_flag(
     ).select(*titles.columns, F.col("app_id").isNotNull().alias(name))
 
 
-def resolve(joined: DataFrame) -> DataFrame:
+def resolve(joined: DataFrame, any_whitespace: bool = False) -> DataFrame:
     """Pick developer, publisher, genre and flag from seed, staging and defaults."""
+    def first_filled(*candidates: Column) -> Column:
+        return waterfall(*candidates, any_whitespace=any_whitespace)
+
     return joined.withColumnRenamed("name_raw", "game_name").withColumns(
         {
-            "developer": waterfall(F.col("developer_clean"), F.col("developer")),
-            "publisher": waterfall(F.col("publisher")),
-            "genre": waterfall(
+            "developer": first_filled(F.col("developer_clean"), F.col("developer")),
+            "publisher": first_filled(F.col("publisher")),
+            "genre": first_filled(
                 F.col("genre_clean"),
                 F.col("primary_genre"),
                 first_token(F.col("genres_raw")),

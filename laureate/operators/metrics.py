@@ -95,7 +95,7 @@ def genre_year(
             mean(F.col("owners_midpoint"), 0).alias("avg_owners_midpoint"),
             mean(score_gap(score, user, "zero")).alias("avg_nostalgia_delta"),
         )
-        .withColumn("era_label", era_label(F.col("release_year")))
+        .withColumn("era_label", era_label("release_year"))
     )
     return min_size(grouped, "game_count", gates.min_per_genre_year)
 
@@ -116,5 +116,6 @@ def genre_era(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
 
 
 def with_era(df: DataFrame) -> DataFrame:
-    year = F.col("release_year")
-    return df.withColumns({"era_label": era_label(year), "era_sort_order": era_order(year)})
+    return df.withColumns(
+        {"era_label": era_label("release_year"), "era_sort_order": era_order("release_year")}
+    )

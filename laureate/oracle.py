@@ -566,7 +566,7 @@ SELECT game_key, game_name, release_year, developer, genre, critic_score, user_s
 FROM items WHERE critic_score >= 80 ORDER BY critic_score DESC, coalesce(user_score, 0) DESC""",
     "q_view_era_rank": f"""WITH {INDEX_REPORT},
 by_era AS (
-    SELECT era_label, {_round("avg(golden_era_index)", 2)} AS avg_index, count(*) AS years
+    SELECT era_label, {_round("avg(CAST(golden_era_index AS DECIMAL(18, 2)))", 2)} AS avg_index, count(*) AS years
     FROM index_report GROUP BY era_label
 )
 SELECT *, 1 + (SELECT count(DISTINCT b.avg_index) FROM by_era b WHERE b.avg_index > a.avg_index)

@@ -24,6 +24,12 @@ class Inputs(NamedTuple):
 
 @dataclass(frozen=True)
 class Options:
+    """How titles become games.
+
+    ``unicode_names`` keeps titles in other scripts apart when deduplicating, and
+    ``any_whitespace`` treats tabs and Unicode spaces as blanks everywhere.
+    """
+
     gates: Gates = DEFAULT_GATES
     year_tolerance: int = 1
     unicode_names: bool = False
@@ -41,13 +47,14 @@ def enriched(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> DataFrame:
     staging columns alone, so the result is that of joining first, but far fewer
     rows are joined and no name is left with more than a row per year.
     """
+    blanks = options.any_whitespace
     kept = best_title(
-        gate(inputs.titles, options.gates), unicode_letters=options.unicode_names
-    )
-    seeded = join_nearest_seed(
-        kept, inputs.seed, options.year_tolerance, options.any_whitespace
+        gate(inputs.titles, options.gates),
+        unicode_letters=options.unicode_names,
+        any_whitespace=blanks,
     )
-    return with_era(resolve(membership_flag(seeded, inputs.flags, "_flagged")))
+    seeded = join_nearest_seed(kept, inputs.seed, options.year_tolerance, blanks)
+    return with_era(resolve(membership_flag(seeded, inputs.flags, "_flagged"), blanks))
 
 
 def games(
@@ -61,4 +68,4 @@ def games(
     rows = enriched(inputs, options)
     if drop_unknown:
         rows = rows.filter(F.col("genre") != UNKNOWN)
-    return rows.withColumn("genre", map_values(F.col("genre"), options.genre_renames))
+    return rows.withColumn("genre", map_values("genre", options.genre_renames))

@@ -43,7 +43,6 @@ def index_report(
         year_profile(titles, gates, denominator), "scored_games", gates.min_scored_per_year
     )
     scored = pillars(years).withColumn("golden_era_index", composite(on_null=on_null))
-    year = F.col("release_year")
     return scored.withColumns(
         {
             "yoy_score_delta": period_delta(
@@ -53,8 +52,8 @@ def index_report(
             "nostalgia_delta": F.round(F.col("avg_user_score") - F.col("avg_critic_score"), 2),
             "golden_era_index_3yr_avg": centred_mean("golden_era_index"),
             "era_index_rank": place("golden_era_index"),
-            "era_label": era_label(year, INDEX_ERAS),
-            "coverage_tier": coverage_tier(year),
+            "era_label": era_label("release_year", INDEX_ERAS),
+            "coverage_tier": coverage_tier("release_year"),
         }
     ).select(*INDEX_COLUMNS)
 

@@ -12,18 +12,18 @@ from laureate.schemas import ITEM_COLUMNS
 
 
 def with_labels(rows: DataFrame) -> DataFrame:
-    critic, user = F.col("critic_score"), F.col("user_score")
-    hours, years = F.col("avg_playtime_hrs"), labels.age(F.col("release_year"))
+    years, hours = labels.age("release_year"), "avg_playtime_hrs"
+    gap = score_gap(F.col("critic_score"), F.col("user_score"))
     return rows.withColumns(
         {
-            "nostalgia_delta": F.round(score_gap(critic, user), 2),
-            "nostalgia_label": labels.delta_label(critic, user),
-            "game_age_years": years,
+            "nostalgia_delta": F.round(gap, 2),
+            "nostalgia_label": labels.delta_label("critic_score", "user_score"),
+            "game_age_years": F.expr(years),
             "age_bucket": labels.age_bucket(years),
             "age_bucket_sort": labels.age_bucket_order(years),
             "longevity_tier": labels.longevity_tier(hours),
             "longevity_tier_sort": labels.longevity_order(hours),
-            "ownership_tier": labels.ownership_tier(F.col("owners_midpoint")),
+            "ownership_tier": labels.ownership_tier("owners_midpoint"),
         }
     )
 

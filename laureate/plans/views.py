@@ -45,9 +45,14 @@ def legends(items: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
 
 
 def era_ranking(index: DataFrame) -> DataFrame:
-    """Eras by their mean yearly index."""
+    """Eras by their mean yearly index.
+
+    The index has two decimals; adding it up as a decimal keeps a mean that falls
+    halfway from rounding one way or the other with the order of the rows.
+    """
+    exact = F.col("golden_era_index").cast("decimal(18, 2)")
     eras = index.groupBy("era_label").agg(
-        mean(F.col("golden_era_index")).alias("avg_index"), F.count("*").alias("years")
+        mean(exact).cast("double").alias("avg_index"), F.count("*").alias("years")
     )
     return eras.withColumn("era_place", place("avg_index"))
 

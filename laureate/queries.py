@@ -282,17 +282,16 @@ def q_waterfall(spark, sf_dir):
 def q_map_values(spark, sf_dir):
     return (
         base.enriched(trade.inputs(spark, sf_dir))
-        .withColumn("mapped_genre", labels.map_values(F.col("genre")))
+        .withColumn("mapped_genre", labels.map_values("genre"))
         .select("game_key", "genre", "mapped_genre")
     )
 
 
 @query
 def q_era_label(spark, sf_dir):
-    year = F.col("release_year")
     return metrics.with_era(trade.titles(spark, sf_dir)).select(
         "game_key", "release_year", "era_label", "era_sort_order",
-        labels.coverage_tier(year).alias("coverage_tier"),
+        labels.coverage_tier("release_year").alias("coverage_tier"),
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STAGING = T.StructType(
@@ -104,11 +103,10 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     instead of turning into NULL.
     """
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
+            f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) "
+            f"AS {f.name}"
             for f in schema.fields
         ]
     )

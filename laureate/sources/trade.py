@@ -46,35 +46,27 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    year = F.year("o_orderdate")
-    genre = (
-        F.when(F.col("o_orderpriority").startswith("1"), "Action RPG")
-        .when(F.col("o_orderpriority").startswith("2"), "FPS")
-        .when(F.col("o_orderpriority").startswith("3") & (year % 3 != 0), "Casual")
-        .when(F.col("o_orderpriority").startswith("4"), " ")
-        .when(F.col("o_orderpriority").startswith("5") & (year % 2 == 1), "Strategy")
-    )
-    derived = joined.select(
-        F.col("o_orderkey").alias("game_key"),
-        F.when(F.col("o_orderstatus") == "F", "steam")
-        .otherwise("metacritic")
-        .alias("source"),
-        F.col("c_name").alias("name_raw"),
-        year.alias("release_year"),
-        (F.floor(F.col("o_totalprice") / 10000) + 50).alias("critic_score"),
-        F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100)).alias("user_score"),
-        F.when(year >= 1998, F.col("o_custkey") % 130).alias("avg_playtime_hrs"),
-        F.when(
-            F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") * 30)
-        ).alias("owners_midpoint"),
-        (F.col("o_custkey") % 1000).alias("reviews_total"),
-        (F.col("o_orderkey") % 101).alias("review_ratio_pct"),
-        genre.alias("primary_genre"),
-        F.concat("c_mktsegment", F.lit(","), "n_name").alias("genres_raw"),
-        F.when(F.col("c_custkey") % 7 == 0, "")
-        .otherwise(F.col("n_name"))
-        .alias("developer"),
-        F.col("r_name").alias("publisher"),
+    derived = joined.selectExpr(
+        "o_orderkey AS game_key",
+        "CASE WHEN o_orderstatus = 'F' THEN 'steam' ELSE 'metacritic' END AS source",
+        "c_name AS name_raw",
+        "year(o_orderdate) AS release_year",
+        "50 + floor(o_totalprice / 10000) AS critic_score",
+        "CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 100) END AS user_score",
+        "CASE WHEN year(o_orderdate) >= 1998 THEN o_custkey % 130 END AS avg_playtime_hrs",
+        "CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice * 30) END AS owners_midpoint",
+        "o_custkey % 1000 AS reviews_total",
+        "o_orderkey % 101 AS review_ratio_pct",
+        """CASE
+            WHEN o_orderpriority LIKE '1%' THEN 'Action RPG'
+            WHEN o_orderpriority LIKE '2%' THEN 'FPS'
+            WHEN o_orderpriority LIKE '3%' AND year(o_orderdate) % 3 <> 0 THEN 'Casual'
+            WHEN o_orderpriority LIKE '4%' THEN ' '
+            WHEN o_orderpriority LIKE '5%' AND year(o_orderdate) % 2 = 1 THEN 'Strategy'
+        END AS primary_genre""",
+        "concat(c_mktsegment, ',', n_name) AS genres_raw",
+        "CASE WHEN c_custkey % 7 = 0 THEN '' ELSE n_name END AS developer",
+        "r_name AS publisher",
     )
     return conform(derived, STAGING)
 
@@ -83,17 +75,16 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _table(spark, sf_dir, "nation").join(
         _table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    key = F.col("c_custkey")
     curated = (
         _table(spark, sf_dir, "customer")
-        .filter(key % 5 == 0)
+        .filter("c_custkey % 5 = 0")
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.concat(F.lit("  "), F.upper("c_name"), F.lit(" ")).alias("game_name"),
-            (F.floor(key / 5) % 5 + 1996).alias("release_year"),
-            F.col("c_mktsegment").alias("developer_clean"),
-            F.when(key % 3 == 0, "").otherwise(F.col("r_name")).alias("genre_clean"),
-            (key % 10 == 0).alias("is_vr"),
+        .selectExpr(
+            "concat('  ', upper(c_name), ' ') AS game_name",
+            "floor(c_custkey / 5) % 5 + 1996 AS release_year",
+            "c_mktsegment AS developer_clean",
+            "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE r_name END AS genre_clean",
+            "c_custkey % 10 = 0 AS is_vr",
         )
     )
     return conform(curated, SEED)
@@ -102,8 +93,8 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_flags(
         _table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_quantity") >= 49)
-        .select(F.col("l_orderkey").alias("app_id"))
+        .filter("l_quantity >= 49")
+        .selectExpr("l_orderkey AS app_id")
     )
 
 

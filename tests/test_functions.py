@@ -9,9 +9,13 @@ from laureate import fixed
 from laureate.functions import labels, numbers, text
 
 
-def evaluate(spark, values, kind, expression):
+def evaluate(spark, values, kind, expression, given="v"):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
-    return [r[0] for r in df.orderBy("i").select(expression(F.col("v"))).collect()]
+    return [r[0] for r in df.orderBy("i").select(expression(given)).collect()]
+
+
+def evaluate_text(spark, values, expression):
+    return evaluate(spark, values, "string", expression, F.col("v"))
 
 
 def test_era_edges(spark):
@@ -41,12 +45,12 @@ def test_age_edges(spark):
     assert evaluate(spark, [4, 20], "int", labels.age_bucket) == [
         "Under 5 years (New)", "20+ years (Legend tier)",
     ]
-    assert evaluate(spark, [2004], "int", labels.age) == [20]
+    assert evaluate(spark, [2004], "int", lambda y: F.expr(labels.age(y))) == [20]
 
 
 def test_delta_edges(spark):
     gaps = [10.0, 9.99, 3.0, 2.99, -3.0, -3.01, -10.0, -10.01, None]
-    got = evaluate(spark, gaps, "double", lambda v: labels.delta_label(F.lit(0), v))
+    got = evaluate(spark, gaps, "double", lambda v: labels.delta_label("0", v))
     assert got == [
         "Cult Classic (users love it)", "Slight user preference", "Slight user preference",
         "Critics and users agree", "Critics and users agree", "Slight critic preference",
@@ -76,6 +80,13 @@ def test_genre_map(spark):
     assert evaluate(spark, names, "string", labels.map_values) == expected
 
 
+def test_genre_map_with_quotes_and_without_lists(spark):
+    names = ["it's", "a\\b"]
+    got = evaluate(spark, names, "string", lambda v: labels.map_values(v, {"it's": "its"}, ["a\\b"]))
+    assert got == ["its", None]
+    assert evaluate(spark, names, "string", lambda v: labels.map_values(v, {}, [])) == names
+
+
 def test_genre_map_can_keep_shooters_apart(spark):
     renames = {**fixed.GENRE_RENAMES, "First-Person Shooter": "FPS", "FPS": "FPS"}
     got = evaluate(
@@ -85,30 +96,30 @@ def test_genre_map_can_keep_shooters_apart(spark):
 
 
 def test_first_token(spark):
-    got = evaluate(spark, [None, "", ",RPG", "RPG,Action", "RPG"], "string", text.first_token)
+    got = evaluate_text(spark, [None, "", ",RPG", "RPG,Action", "RPG"], text.first_token)
     assert got == [None, "", "", "RPG", "RPG"]
-    assert evaluate(spark, ["a.b|c"], "string", lambda v: text.first_token(v, "|")) == ["a.b"]
+    assert evaluate_text(spark, ["a.b|c"], lambda v: text.first_token(v, "|")) == ["a.b"]
 
 
 def test_waterfall_skips_blanks(spark):
-    got = evaluate(
-        spark, ["", "  ", None, " x "], "string", lambda v: text.waterfall(v, F.lit(" "))
+    got = evaluate_text(
+        spark, ["", "  ", None, " x "], lambda v: text.waterfall(v, F.lit(" "))
     )
     assert got == ["Unknown", "Unknown", "Unknown", "x"]
 
 
 def test_whitespace_options(spark):
     odd = "\t Doom  "
-    assert evaluate(spark, [odd], "string", text.trimmed) == ["\t Doom  "]
-    assert evaluate(spark, [odd], "string", lambda v: text.trimmed(v, True)) == ["Doom"]
+    assert evaluate_text(spark, [odd], text.trimmed) == ["\t Doom  "]
+    assert evaluate_text(spark, [odd], lambda v: text.trimmed(v, True)) == ["Doom"]
 
 
 def test_name_keys(spark):
     names = ["BioShock", " Bioshock! ", "原神", "崩坏", "!!!", "Pokémon"]
-    assert evaluate(spark, names, "string", text.name_key) == [
+    assert evaluate_text(spark, names, text.name_key) == [
         "bioshock", "bioshock", "", "", "", "pokmon",
     ]
-    assert evaluate(spark, names, "string", lambda v: text.name_key(v, True)) == [
+    assert evaluate_text(spark, names, lambda v: text.name_key(v, True)) == [
         "bioshock", "bioshock", "原神", "崩坏", "!!!", "pokémon",
     ]
 

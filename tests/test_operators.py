@@ -106,6 +106,21 @@ def test_dedup(spark):
     assert {"x", "y"} <= {r.game_key for r in wide.collect()}
 
 
+def test_blanks_of_any_kind(spark):
+    inputs = rows.inputs(
+        spark,
+        {"name_raw": "Doom\t", "developer": "\u00a0", "primary_genre": "\tRPG"},
+        {"name_raw": "doom"},
+        seeds=[("\tDOOM", 2001, "Seed", None, True)],
+    )
+    columns = ("developer", "genre", "is_vr")
+    assert rows.by(base.games(inputs), "game_key", *columns) == {
+        "1": ("\u00a0", "\tRPG", False)
+    }
+    got = base.games(inputs, base.Options(any_whitespace=True))
+    assert rows.by(got, "game_key", *columns) == {"1": ("Seed", "RPG", True)}
+
+
 def test_unknown_winner_removes_the_title(spark):
     inputs = rows.inputs(
         spark,

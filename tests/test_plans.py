@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from laureate.operators import dedup, enrich
 from laureate.plans import base, items
-from laureate.queries import QUERIES
 from laureate.sources import tables, trade
 from tests import rows
+from tests.compare import plan
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
-
-
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("staged") / "titles")
@@ -62,10 +56,3 @@ def test_large_seeds_are_shuffled(spark, setting):
     setting("spark.sql.autoBroadcastJoinThreshold", "-1")
     text = plan(items.items_report(trade.inputs(spark, SF_DIR)))
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
-    text = plan(QUERIES[name](spark, SF_DIR))
-    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
-        assert unwanted not in text
