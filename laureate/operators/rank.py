@@ -17,19 +17,23 @@ from laureate.operators.lookup import left_lookup
 class Contest:
     """A dense rank to compute: who takes part, in which groups, by what.
 
-    ``order`` lists non-NULL numeric columns, compared from high to low. Rows
-    with a NULL in a ``within`` column do not take part. Groups with fewer than
-    ``min_size`` participants are not ranked. ``size`` names an extra output
-    column with the number of participants.
+    ``order`` lists non-NULL numeric columns, compared from high to low, in
+    levels: a level is a column name or a tuple of them. Rows with a NULL in a
+    ``within`` column do not take part. Groups with fewer than ``min_size``
+    participants are not ranked. ``size`` names an extra output column with the
+    number of participants.
     """
 
     rank: str
     within: tuple[str, ...]
-    order: tuple[str, ...]
+    order: tuple[str | tuple[str, ...], ...]
     takes_part: Column | None = None
     min_size: int = 1
     size: str | None = None
 
+    def levels(self) -> list[tuple[str, ...]]:
+        return [(level,) if isinstance(level, str) else tuple(level) for level in self.order]
+
 
 ROWS = "_rows"
 
@@ -50,34 +54,24 @@ def score_profile(df: DataFrame, contests: Sequence[Contest]) -> DataFrame:
 def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame:
     """The profile's rows that take part in a contest, with their ranks.
 
-    A window over a whole group would sort all its rows in one task. Here a step
-    is what is equal in all order columns but the last. One window orders the
-    distinct last values within a step; a second one runs over one row per step
-    and adds up the places of the steps above. Choose the order columns so that
-    neither gets long: a coarse version of a wide column before the column itself
-    shortens the steps.
+    A window over a whole group would sort all its rows in one task. Here each
+    window orders the distinct values of one level among rows equal in all levels
+    before it, and the places above are added up level by level. Choose the levels
+    so that none is long: a column with many values should follow a coarse
+    version of itself in the level before.
     """
     keys = _profile_keys(contests)
     groups = _group_columns(contests)
-    depth = max(len(c.order) for c in contests)
-    # A contest with fewer order columns is padded, so levels need one type each.
-    types = [
-        next(profile.schema[c.order[j]].dataType for c in contests if len(c.order) > j)
-        for j in range(depth)
-    ]
     g = [f"_g{i}" for i in range(len(groups))]
-    o = [f"_o{j}" for j in range(depth)]
+    levels, places = _common_levels(profile, contests)
 
     def entry(i: int, contest: Contest) -> Column:
         own_groups = [F.col(_group(c)) if c in contest.within else F.lit("") for c in groups]
-        own_order = [
-            (F.col(contest.order[j]) if j < len(contest.order) else F.lit(0)).cast(types[j])
-            for j in range(depth)
-        ]
         return F.struct(
             F.lit(i).alias("_contest"),
             F.col(_part(i)).alias("_in"),
-            *[c.alias(name) for c, name in zip(own_groups + own_order, g + o)],
+            *[c.alias(name) for c, name in zip(own_groups, g)],
+            *[c.alias(name) for name, c in places[i].items()],
         )
 
     entries = [entry(i, c) for i, c in enumerate(contests)]
@@ -87,26 +81,17 @@ def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame
         .filter("_in")
     )
     group = ["_contest", *g]
-    step = group + o[:-1]
+    step = group + _flat(levels[:-1])
     local = rows.withColumn(
-        "_local", F.dense_rank().over(Window.partitionBy(*step).orderBy(F.desc(o[-1])))
-    )
-    all_steps = Window.partitionBy(*group)
-    higher_steps = all_steps.orderBy(*[F.desc(c) for c in o[:-1]]).rowsBetween(
-        Window.unboundedPreceding, -1
+        "_local",
+        F.dense_rank().over(Window.partitionBy(*step).orderBy(*_descending(levels[-1]))),
     )
-    steps = (
-        local.groupBy(*step)
-        .agg(F.max("_local").alias("_places"), F.sum(ROWS).alias("_members"))
-        .select(
-            *step,
-            F.coalesce(F.sum("_places").over(higher_steps), F.lit(0)).alias("_above"),
-            F.sum("_members").over(all_steps).alias("_group_members"),
-        )
+    sizes = local.groupBy(*step).agg(
+        F.max("_local").alias("_places"), F.sum(ROWS).alias("_members")
     )
-    # Every row has its step. A left join adds no NULL filter to one of the two
-    # uses of ``local``, so Spark shuffles it once for both.
-    placed = local.join(steps, step, "left")
+    # Every row has its step. A left join adds no NULL filter to one of the uses
+    # of ``local``, so Spark shuffles it once for all.
+    placed = local.join(_places_above(sizes, group, levels[:-1]), step, "left")
 
     columns = []
     for i, contest in enumerate(contests):
@@ -119,6 +104,69 @@ def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame
     return placed.groupBy(*keys).agg(F.max(ROWS).alias(ROWS), *columns)
 
 
+def _places_above(
+    sizes: DataFrame, group: list[str], levels: list[list[str]]
+) -> DataFrame:
+    """Per group and step: the places above it in the group, and the group's size."""
+    if not levels:
+        return sizes.select(
+            *group, F.lit(0).alias("_above"), F.col("_members").alias("_group_members")
+        )
+    outer = group + _flat(levels[:-1])
+    whole = Window.partitionBy(*outer)
+    ahead = whole.orderBy(*_descending(levels[-1])).rowsBetween(Window.unboundedPreceding, -1)
+    here = sizes.select(
+        *outer, *levels[-1],
+        F.coalesce(F.sum("_places").over(ahead), F.lit(0)).alias("_above"),
+        F.sum("_members").over(whole).alias("_group_members"),
+    )
+    if len(levels) == 1:
+        return here
+    totals = sizes.groupBy(*outer).agg(
+        F.sum("_places").alias("_places"), F.sum("_members").alias("_members")
+    )
+    higher = _places_above(totals, group, levels[:-1]).withColumnRenamed("_above", "_higher")
+    return (
+        here.drop("_group_members")
+        .join(higher, outer, "left")
+        .withColumn("_above", F.col("_above") + F.col("_higher"))
+        .drop("_higher")
+    )
+
+
+def _common_levels(
+    profile: DataFrame, contests: Sequence[Contest]
+) -> tuple[list[list[str]], list[dict[str, Column]]]:
+    """Level columns shared by all contests, and each contest's values for them.
+
+    A contest with fewer levels or columns has 0 there. Values keep the type of
+    the first contest that has the column.
+    """
+    own = [c.levels() for c in contests]
+    depth = max(len(levels) for levels in own)
+    names, values = [], [{} for _ in contests]
+    for j in range(depth):
+        width = max(len(levels[j]) if j < len(levels) else 0 for levels in own)
+        names.append([f"_o{j}_{k}" for k in range(width)])
+        for k, name in enumerate(names[-1]):
+            sources = [
+                levels[j][k] if j < len(levels) and k < len(levels[j]) else None
+                for levels in own
+            ]
+            kind = next(profile.schema[c].dataType for c in sources if c)
+            for place, source in zip(values, sources):
+                place[name] = (F.col(source) if source else F.lit(0)).cast(kind)
+    return names, values
+
+
+def _flat(levels: Sequence[Sequence[str]]) -> list[str]:
+    return [c for level in levels for c in level]
+
+
+def _descending(columns: Sequence[str]) -> list[Column]:
+    return [F.desc(c) for c in columns]
+
+
 def dense_ranks(df: DataFrame, contests: Sequence[Contest], spread_by: str) -> DataFrame:
     """Add the contests' ranks (and sizes) to every row; NULL where not ranked.
 
@@ -162,7 +210,7 @@ def _with_keys(df: DataFrame, contests: Sequence[Contest]) -> DataFrame:
 
 
 def _profile_keys(contests: Sequence[Contest]) -> list[str]:
-    order = list(dict.fromkeys(c for contest in contests for c in contest.order))
+    order = list(dict.fromkeys(c for contest in contests for c in _flat(contest.levels())))
     groups = [_group(c) for c in _group_columns(contests)]
     return [*groups, *order, *[_part(i) for i in range(len(contests))]]
 
