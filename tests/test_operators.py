@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from laureate.fixed import Gates
 from laureate.operators import dedup, enrich, metrics, rank, scale, trend
 from laureate.plans import base, champions, timeline
 from tests import rows
@@ -17,6 +18,19 @@ def test_gate(spark):
     assert {r.game_key for r in kept.collect()} == {"2", "3", "6"}
 
 
+def test_other_gates(spark):
+    gates = Gates(first_year=1980, min_score=10, champion_score=20, min_per_genre_era=1)
+    inputs = rows.inputs(
+        spark, {"release_year": 1985, "critic_score": 15, "primary_genre": "RPG"},
+        {"release_year": 1985, "critic_score": 25, "primary_genre": "RPG"},
+        {"release_year": 1985, "critic_score": 9},
+    )
+    report = champions.champions_report(inputs, base.Options(gates=gates))
+    assert rows.by(report, "game_key", "era_label", "era_rank", "genre_era_rank") == {
+        "1": ("Unknown", 2, None), "2": ("Unknown", 1, 1),
+    }
+
+
 def test_seed_tolerance(spark):
     years = (1998, 1999, 2000, 2001, 2002)
     table = rows.titles(
