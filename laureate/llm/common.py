@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of ASCII white space, the only separators of a word.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -69,6 +70,14 @@ def column(df: DataFrame, name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def schema(**fields: str | T.DataType) -> T.StructType:
+    """A schema by column names; types as objects or as SQL."""
+    out = T.StructType()
+    for name, kind in fields.items():
+        out.add(name, T.DataType.fromDDL(kind) if isinstance(kind, str) else kind)
+    return out
+
+
 def row_numbers() -> Iterator[int]:
     """Numbers that no other task gives. Stable once the rows are written."""
     first = TaskContext.get().partitionId() << 33
@@ -159,18 +168,18 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000):
+def batches(rows: Iterator[tuple], kinds: pa.Schema, size: int = 2000):
     """Arrow batches of ``size`` rows."""
     held = []
     for row in rows:
         held.append(row)
         if len(held) >= size:
-            yield _batch(held, schema)
+            yield _batch(held, kinds)
             held = []
     if held:
-        yield _batch(held, schema)
+        yield _batch(held, kinds)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
-    return pa.RecordBatch.from_arrays(columns, schema=schema)
+def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns, schema=kinds)

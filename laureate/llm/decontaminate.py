@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laureate.llm.common import (
-    WordHashes, batches, bit_filter, column, heavy_split, in_filter, row_numbers,
+    WordHashes, batches, bit_filter, column, heavy_split, in_filter, row_numbers, schema,
     shingle_hashes, table, written,
 )
 
@@ -153,8 +153,8 @@ def contamination(
     numbered = written(
         source.mapInArrow(
             _hits(mask, sizes, window),
-            f"row bigint, document {source.schema['document'].dataType.simpleString()}, "
-            f"n_words bigint, runs {_RUN_DDL}",
+            schema(row="bigint", document=source.schema["document"].dataType,
+                   n_words="bigint", runs=_RUN_DDL),
         ),
         "document-hits",
     )

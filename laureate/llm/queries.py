@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from laureate.llm.decontaminate import op7_prefix_filtered_join
+from laureate.llm.quality import op10_compression_quality
 from laureate.llm.sharding import op6_histogram_sort
 
 QUERIES = {q.__name__: q for q in (
     op6_histogram_sort,
     op7_prefix_filtered_join,
+    op10_compression_quality,
 )}
 
 ORACLE: dict[str, str] = {}
