@@ -5,11 +5,25 @@ from __future__ import annotations
 from laureate.llm.decontaminate import op7_prefix_filtered_join
 from laureate.llm.quality import op10_compression_quality
 from laureate.llm.sharding import op6_histogram_sort
+from laureate.llm.warc import op3_warc_ranges
 
 QUERIES = {q.__name__: q for q in (
+    op3_warc_ranges,
     op6_histogram_sort,
     op7_prefix_filtered_join,
     op10_compression_quality,
 )}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc_ranges": """
+        WITH bodies AS (
+            SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages
+        ), kept AS (
+            SELECT body, max(page_id) AS kept FROM bodies WHERE size >= 1000 GROUP BY body
+        )
+        SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+            CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < kept THEN kept END AS refers_to
+        FROM bodies LEFT JOIN kept USING (body)
+    """,
+}
