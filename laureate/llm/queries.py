@@ -5,16 +5,33 @@ from __future__ import annotations
 from laureate.llm.decontaminate import op7_prefix_filtered_join
 from laureate.llm.quality import op10_compression_quality
 from laureate.llm.sharding import op6_histogram_sort
+from laureate.llm.topk import op5_block_pruning
 from laureate.llm.warc import op3_warc_ranges
 
 QUERIES = {q.__name__: q for q in (
     op3_warc_ranges,
+    op5_block_pruning,
     op6_histogram_sort,
     op7_prefix_filtered_join,
     op10_compression_quality,
 )}
 
 ORACLE: dict[str, str] = {
+    "op5_block_pruning": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        )
+        SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score,
+            CAST(row_number() OVER (
+                PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id
+            ) AS INTEGER) AS rank
+        FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+        QUALIFY rank <= 20
+    """,
     "op3_warc_ranges": """
         WITH bodies AS (
             SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages
