@@ -183,3 +183,15 @@ def batches(rows: Iterator[tuple], kinds: pa.Schema, size: int = 2000):
 def _batch(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
     columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)]
     return pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+
+def filtered(df: DataFrame, hash_column: str, mask: np.ndarray, inside: bool = True) -> DataFrame:
+    """The rows whose hash may be in the filter, or (``inside=False``) is surely not."""
+    at = df.columns.index(hash_column)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            hashes = part.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield part.filter(pa.array(in_filter(mask, hashes) == inside))
+
+    return df.mapInArrow(run, df.schema)

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from laureate.llm.decontaminate import op7_prefix_filtered_join
+from laureate.llm.lines import op2_line_dedup
+from laureate.llm.neardup import op4_chosen_path
+from laureate.llm.packing import op8_optimal_buckets
 from laureate.llm.quality import op10_compression_quality
 from laureate.llm.sharding import op6_histogram_sort
 from laureate.llm.topk import op5_block_pruning
 from laureate.llm.warc import op3_warc_ranges
 
 QUERIES = {q.__name__: q for q in (
+    op2_line_dedup,
     op3_warc_ranges,
+    op4_chosen_path,
     op5_block_pruning,
     op6_histogram_sort,
     op7_prefix_filtered_join,
+    op8_optimal_buckets,
     op10_compression_quality,
 )}
 
