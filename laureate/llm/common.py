@@ -151,21 +151,69 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-class WordHashes:
-    """64-bit hashes of words; remembers a bounded number of words."""
+#: A random number for each byte value.
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_POWERS = np.cumprod(np.full(64, _BASE))
+_IS_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS, dtype=np.uint8))
 
-    def __init__(self, most: int = 200_000):
-        import xxhash
+#: Lower-cases A-Z; other bytes stay.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-        self.of, self.known, self.most = xxhash.xxh3_64_intdigest, {}, most
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known, of = self.known, self.of
-        if len(known) > self.most:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = of(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def plain_bytes(text: str | None, changed: bytes) -> bytes:
+    """The bytes of a text, each replaced by its entry in ``changed``."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(changed)
+
+
+class Words:
+    """All words of some texts at once, as 64-bit hashes.
+
+    ``hashes`` and ``starts`` (places in ``data``) run over the words of all texts;
+    those of text i are ``first[i]`` to ``first[i + 1]``.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.data = data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        inside = ~_IS_BLANK[data]
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.first = np.concatenate([[0], np.searchsorted(self.starts, ends)])
+        length = self.ends - self.starts
+        if not len(length):
+            self.hashes = np.empty(0, dtype=np.uint64)
+            return
+        begin = np.concatenate([[0], np.cumsum(length)[:-1]])
+        place = np.arange(int(length.sum())) - np.repeat(begin, length)
+        most = int(length.max())
+        powers = _POWERS if most <= len(_POWERS) else np.cumprod(np.full(most, _BASE))
+        parts = _BYTE[data[inside]] * powers[place]
+        self.hashes = mixed(np.add.reduceat(parts, begin) + length.astype(np.uint64))
+
+    def of(self, i: int) -> np.ndarray:
+        return self.hashes[self.first[i] : self.first[i + 1]]
+
+    def text(self, i: int, a: int, b: int) -> list[str]:
+        """Words a to b of text i."""
+        at = self.first[i]
+        return [
+            self.data[x:y].tobytes().decode("utf-8", "surrogatepass")
+            for x, y in zip(self.starts[at + a : at + b], self.ends[at + a : at + b])
+        ]
+
+
+def grouped(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``most`` bytes, to be taken apart together."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def batches(rows: Iterator[tuple], kinds: pa.Schema, size: int = 2000):

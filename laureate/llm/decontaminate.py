@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laureate.llm.common import (
-    WordHashes, batches, bit_filter, column, heavy_split, in_filter, row_numbers, schema,
-    shingle_hashes, table, written,
+    Words, batches, bit_filter, column, grouped, heavy_split, in_filter, plain_bytes,
+    row_numbers, schema, shingle_hashes, table, written,
 )
 
 WINDOW, SHINGLE = 13, 5
@@ -31,11 +31,6 @@ _PLAIN = bytes(
 )
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters, digits and characters beyond ASCII."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN).split()
-
-
 _ITEM_DDL = "window string, length int, item_id bigint, size int, place int, hash bigint"
 _ITEM = pa.schema([
     ("window", pa.string()), ("length", pa.int32()), ("item_id", pa.int64()),
@@ -47,19 +42,19 @@ def _windows(window: int, shingle: int):
     """Each window of each item with the hashes and places of its shingles."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
-
         def rows():
             for part in parts:
                 for item, text in zip(*(c.to_pylist() for c in part.columns)):
-                    words = words_of(text)
-                    if not words:
+                    found = Words([plain_bytes(text, _PLAIN)])
+                    n = len(found.hashes)
+                    if not n:
                         continue
-                    length = min(window, len(words))
+                    words = found.text(0, 0, n)
+                    length = min(window, n)
                     size = min(shingle, length)
-                    hashes = shingle_hashes(hashed(words), size).view(np.int64).tolist()
-                    for i in range(len(words) - length + 1):
-                        joined = b" ".join(words[i : i + length]).decode("utf-8", "surrogatepass")
+                    hashes = shingle_hashes(found.hashes, size).view(np.int64).tolist()
+                    for i in range(n - length + 1):
+                        joined = " ".join(words[i : i + length])
                         for p in range(length - size + 1):
                             yield joined, length, item, size, p, hashes[i + p]
 
@@ -84,39 +79,51 @@ def _hits(mask: np.ndarray, sizes: list[int], window: int):
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, numbers = WordHashes(), row_numbers()
+        numbers = row_numbers()
         for part in parts:
-            rows, counts, runs = [], [], []
-            for text in part.column(0).to_pylist():
-                words = words_of(text)
-                rows.append(next(numbers))
-                counts.append(len(words))
-                runs.append(_runs(words, hashed(words) if sizes and words else None))
+            counts, runs = [], []
+            for group in grouped([plain_bytes(t, _PLAIN) for t in part.column(0).to_pylist()]):
+                words = Words(group)
+                found = _places(words)
+                at = np.searchsorted(found[0], words.first)
+                counts += np.diff(words.first).tolist()
+                runs += [
+                    _runs(words, i, [f[a:b] for f in found]) if b > a else []
+                    for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist()))
+                ]
+            rows = [next(numbers) for _ in counts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), part.column(1), pa.array(counts, pa.int64()),
                  pa.array(runs, pa.list_(_RUN))],
                 ["row", "document", "n_words", "runs"],
             )
 
-    def _runs(words: list[bytes], hashes: np.ndarray | None) -> list[dict]:
+    def _places(words: Words) -> list[np.ndarray]:
+        """Places among all words, sizes and hashes of the shingles in the filter."""
+        last = np.repeat(words.first[1:], np.diff(words.first))
         found = []
-        if hashes is not None:
-            for size in sizes:
-                own = shingle_hashes(hashes, size)
-                at = np.flatnonzero(in_filter(mask, own))
-                found += zip(at.tolist(), [size] * len(at), own[at].view(np.int64).tolist())
+        for size in sizes:
+            own = shingle_hashes(words.hashes, size)
+            at = np.flatnonzero(in_filter(mask, own))
+            at = at[at + size <= last[at]]
+            found.append((at, np.full(len(at), size), own[at].view(np.int64)))
+        if not found:
+            return [np.empty(0, dtype=np.int64)] * 3
+        joined = [np.concatenate(x) for x in zip(*found)]
+        order = np.lexsort((joined[1], joined[0]))
+        return [x[order] for x in joined]
+
+    def _runs(words: Words, i: int, found: list[np.ndarray]) -> list[dict]:
+        n = int(words.first[i + 1] - words.first[i])
         out: list[dict] = []
-        for at, size, value in sorted(found):
-            low, high = max(0, at - window), min(len(words), at + window)
+        for at, size, value in zip((found[0] - words.first[i]).tolist(), *(f.tolist() for f in found[1:])):
+            low, high = max(0, at - window), min(n, at + window)
             if not out or low > out[-1]["last"]:
                 out.append({"first": low, "last": high, "hits": []})
             out[-1]["last"] = high
             out[-1]["hits"].append({"at": at, "size": size, "hash": value})
-        for run_ in out:
-            run_["words"] = [
-                w.decode("utf-8", "surrogatepass")
-                for w in words[run_["first"] : run_.pop("last")]
-            ]
+        for one in out:
+            one["words"] = words.text(i, one["first"], one.pop("last"))
         return out
 
     return run

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laureate.llm.common import (
-    WordHashes, bit_filter, column, filtered, forget, heavy_split, mixed, schema,
-    shingle_hashes, table, written,
+    LOWER, Words, bit_filter, column, filtered, forget, grouped, heavy_split, mixed,
+    plain_bytes, schema, shingle_hashes, table, written,
 )
 
 #: Minwise tokens of a signature, independent trees, classes of a small node.
@@ -32,17 +32,19 @@ SLACK = 0.17
 DEEPEST = 24
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+    """Each text's sorted hashes of its distinct runs of ``k`` words.
 
-
-def shingle_set(hashed: WordHashes, text: str | None, k: int) -> np.ndarray:
-    """Sorted hashes of the distinct runs of ``k`` words; of all words if there are fewer."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(shingle_hashes(hashed(words), min(k, len(words))))
+    Words lie between ASCII white space, A-Z in lower case. A text of fewer words is
+    one run; one without words has none.
+    """
+    for group in grouped([plain_bytes(t, LOWER) for t in texts]):
+        words = Words(group)
+        runs = {n: shingle_hashes(words.hashes, n) for n in range(1, k + 1)}
+        for a, b in zip(words.first.tolist(), words.first[1:].tolist()):
+            n = min(k, b - a)
+            found = np.sort(runs[n][a : b - n + 1]) if n else runs[1][:0]
+            yield found[np.concatenate([[True], found[1:] != found[:-1]])] if n else found
 
 
 def _signatures(k: int):
@@ -50,24 +52,24 @@ def _signatures(k: int):
     import hashlib
 
     seeds = mixed(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    turns = (seeds >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+    masks = seeds.astype(np.uint32)[:, None]
 
     def minwise(items: np.ndarray) -> np.ndarray:
-        # A place's hash is the upper half of an odd multiple of the item's hash.
-        out = np.empty(PLACES, dtype=np.uint32)
-        for i, seed in enumerate(seeds):
-            out[i] = ((items * (seed | np.uint64(1))) >> np.uint64(32)).min()
-        return out.view(np.int32)
+        half = (items >> np.uint64(32)).astype(np.uint32)
+        parts = [
+            ((half[None, i : i + 1024] ^ masks) * turns).min(1) for i in range(0, len(half), 1024)
+        ]
+        return np.minimum.reduce(parts).view(np.int32)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
         for part in parts:
             sizes, digests, tokens = [], [], []
-            for text in part.column(1).to_pylist():
-                items = shingle_set(hashed, text, k)
+            for items in shingle_sets(part.column(1).to_pylist(), k):
                 sizes.append(len(items))
                 if len(items):
                     digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                    tokens.append(minwise(items).tolist())
+                    tokens.append(minwise(items))
                 else:
                     digests.append(None)
                     tokens.append(None)
@@ -82,9 +84,8 @@ def _signatures(k: int):
 
 def _sets(k: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = WordHashes()
         for part in parts:
-            sets = [shingle_set(hashed, t, k).tobytes() for t in part.column(1).to_pylist()]
+            sets = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), k)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sets, pa.binary())], ["class", "items"]
             )
@@ -199,18 +200,17 @@ def components(links: DataFrame) -> DataFrame:
     is written, so lineage stays short.
     """
     edges = written(links.select("a", "b").distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
         least = written(least.withColumn("least", F.least("least", "a")), "least")
         # Large star: neighbours beyond a node move to the least of its neighbourhood.
         total = 2 * edges.count()
-        large = (
-            heavy_split(both, least, "a", "n", total).filter("b > a AND b <> least")
-            .select(F.col("least").alias("a"), "b").distinct()
+        large = written(
+            heavy_split(both, least, "a", "n", total).filter("b > a")
+            .select(F.col("least").alias("a"), "b").distinct(),
+            "large-star",
         )
-        large = written(large, "large-star")
         # Small star: a node's lesser neighbours and the node move to the least of them.
         low = large.groupBy("b").agg(F.min("a").alias("least"), F.count(F.lit(1)).alias("n"))
         low = written(low, "low")
@@ -222,10 +222,6 @@ def components(links: DataFrame) -> DataFrame:
         )
         forget(edges, least, large, low)
         edges = small
-        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == before:
-            break
-        before = mark
     labels = edges.select(F.col("b").alias("class"), F.col("a").alias("component"))
     roots = edges.select(F.col("a").alias("class"), F.col("a").alias("component")).distinct()
     out = written(labels.unionByName(roots).distinct(), "components")
@@ -233,6 +229,14 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Every edge leads from a node without lesser neighbours to one without others."""
+    leaves = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    if not leaves.filter("n > 1").isEmpty():
+        return False
+    return edges.join(leaves.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+
 def _chosen(node: Column, share: float) -> Column:
     """The places that a node picks, each with the same small probability."""
     scale = 1 << 20

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from laureate.llm.decontaminate import op7_prefix_filtered_join
+from laureate.llm.language import op1_hidden_markov
 from laureate.llm.lines import op2_line_dedup
 from laureate.llm.neardup import op4_chosen_path
 from laureate.llm.packing import op8_optimal_buckets
@@ -12,6 +13,7 @@ from laureate.llm.topk import op5_block_pruning
 from laureate.llm.warc import op3_warc_ranges
 
 QUERIES = {q.__name__: q for q in (
+    op1_hidden_markov,
     op2_line_dedup,
     op3_warc_ranges,
     op4_chosen_path,
