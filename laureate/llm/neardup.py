@@ -361,6 +361,33 @@ def _result(signed, classes, join: _Join, docs: DataFrame, doc_id: str) -> DataF
     )
 
 
+def near_representatives(
+    docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the least id stays.
+
+    Of rows with the same id one stays if their texts are linked; rows without an id give
+    way to all others. Rows without words all stay.
+    """
+    numbered = written(
+        docs.select(F.monotonically_increasing_id().alias("row"),
+                    F.struct(*[column(docs, c) for c in docs.columns]).alias("document")),
+        "numbered",
+    )
+    key, value = (F.col("document").getField(c) for c in (doc_id, text))
+    rows = numbered.select(
+        F.struct(key.isNull().alias("none"), key.alias("id"), "row").alias("doc"),
+        value.alias("text"),
+    )
+    found = near_duplicates(rows, k, percent, "doc", "text")
+    gone = written(found.filter("NOT kept").select("doc_id.row"), "near-copies")
+    hashed = numbered.withColumn("h", F.xxhash64("row"))
+    mask = bit_filter(gone.select(F.xxhash64("row").alias("h")), "h")
+    rest = filtered(hashed, "h", mask).join(gone, "row", "left_anti")
+    kept = filtered(hashed, "h", mask, inside=False).unionByName(rest)
+    return kept.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])
+
+
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by shingles of four words."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4)

@@ -7,6 +7,7 @@ from laureate.llm.language import op1_hidden_markov
 from laureate.llm.lines import op2_line_dedup
 from laureate.llm.neardup import op4_chosen_path
 from laureate.llm.packing import op8_optimal_buckets
+from laureate.llm.privacy import op9_disclosure
 from laureate.llm.quality import op10_compression_quality
 from laureate.llm.sharding import op6_histogram_sort
 from laureate.llm.topk import op5_block_pruning
@@ -21,6 +22,7 @@ QUERIES = {q.__name__: q for q in (
     op6_histogram_sort,
     op7_prefix_filtered_join,
     op8_optimal_buckets,
+    op9_disclosure,
     op10_compression_quality,
 )}
 
