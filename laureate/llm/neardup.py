@@ -5,9 +5,10 @@ branches classes by chosen minwise tokens: each node picks places of the signatu
 by a hash of its path, on average one and a quarter, and classes with the same minwise
 token at a chosen place meet in a child. Pairs that are similar enough meet in
 small nodes with a fixed probability per tree, and independent trees raise that to
-the target recall. All pairs of a small node are compared. A large node is compared
-with one of its members; if that leaves it in one component there is nothing more to
-find in it, else it branches again. Every link is confirmed on the full sets.
+the target recall. Every node is first compared with a few of its members. What is
+left to find in it are pairs from different components: if they are few for
+its size they are all compared, else the node branches again. Every link is confirmed
+on the full sets.
 """
 
 from __future__ import annotations
@@ -24,12 +25,17 @@ from laureate.llm.common import (
     plain_bytes, schema, shingle_hashes, table, written,
 )
 
-#: Minwise tokens of a signature, independent trees, classes of a small node.
-PLACES, TREES, SMALL = 64, 16, 16
+#: Minwise tokens of a signature and independent trees.
+PLACES, TREES = 64, 16
+#: Members that a whole node is compared with.
+LEADERS = 3
+#: A node is small if it has at most so many open pairs for each member, as a node of
+#: 64 classes has without any link.
+OPEN_PAIRS = 32
+#: Levels that a large node goes down before it is looked at again.
+LEVELS = 3
 #: A link's share of equal minwise tokens may lie this far below the similarity.
 SLACK = 0.17
-#: Levels after which a node is compared whole however large it is.
-DEEPEST = 24
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -76,7 +82,7 @@ def _signatures(k: int):
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(tokens, pa.list_(pa.int32()))],
-                ["doc", "size", "class", "tokens"],
+                ["doc", "size", "digest", "tokens"],
             )
 
     return run
@@ -149,7 +155,7 @@ class _Join:
         a = self.sets.select(F.col("class").alias("a"), F.col("items").alias("items_a"))
         b = self.sets.select(F.col("class").alias("b"), F.col("items").alias("items_b"))
         full = close.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b")
-        found = written(full.mapInArrow(_linked(self.percent), "a binary, b binary"), "links")
+        found = written(full.mapInArrow(_linked(self.percent), "a bigint, b bigint"), "links")
         self.tried = _more(self.tried, close, "tried")
         if found.isEmpty():
             return False
@@ -173,7 +179,7 @@ class _Join:
         texts = filtered(self.docs.withColumn("h", F.xxhash64("doc")), "h", mask)
         own = (
             texts.join(asked, "doc").select("class", "text")
-            .mapInArrow(_sets(self.k), "class binary, items binary")
+            .mapInArrow(_sets(self.k), "class bigint, items binary")
         )
         self.sets = _more(self.sets, own, "sets")
 
@@ -256,17 +262,51 @@ def _children(members: DataFrame, classes: DataFrame, share: float) -> DataFrame
     )
 
 
-def _sized(members: DataFrame, label: str) -> DataFrame:
-    """Members of nodes with at least two, and each node's size and least class."""
+def _below(members: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """(node, class) some levels down: tokens travel along instead of being joined anew."""
+    rows = members.join(classes.select("class", "tokens"), "class")
+    for _ in range(LEVELS):
+        rows = rows.select(
+            "class", "tokens", "node", F.explode(_chosen(F.col("node"), share)).alias("place")
+        ).select(
+            "class", "tokens",
+            F.xxhash64("node", "place", F.get("tokens", "place")).alias("node"),
+        )
+    return rows.select("node", "class").distinct()
+
+
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """Members of nodes with at least two, with the node's leaders: its least members by
+    number and by two hashes of it."""
+    mixed_ = [F.xxhash64("class", F.lit(i)) for i in range(1, LEADERS)]
     nodes = members.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("leader")
+        F.count(F.lit(1)).alias("n"), F.min("class").alias("leader_0"),
+        *[F.min(m).alias(f"least_{i}") for i, m in enumerate(mixed_, 1)],
     ).filter("n > 1")
     nodes = written(nodes, "nodes")
-    out = written(heavy_split(members, nodes, "node", "n", members.count()), label)
+    out = heavy_split(members, nodes, "node", "n", members.count())
+    hit = [F.when(m == F.col(f"least_{i}"), F.col("class")) for i, m in enumerate(mixed_, 1)]
+    is_leader = (F.col("class") == F.col("leader_0")) | F.coalesce(*hit).isNotNull()
+    out = written(out.select("node", "class", "n", is_leader.alias("leads")), "tree-nodes")
     forget(nodes)
     return out
 
 
+def _to_leaders(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a leader and another member of its node."""
+    leaders = members.filter("leads").groupBy("node").agg(
+        F.max("n").alias("n"), F.collect_set("class").alias("leaders")
+    )
+    joined = heavy_split(
+        members.select("node", "class"), written(leaders, "leaders"), "node", "n", members.count()
+    )
+    return (
+        joined.select("class", F.explode("leaders").alias("leader"))
+        .filter("class <> leader")
+        .select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text",
     trees: int = TREES,
@@ -279,79 +319,78 @@ def near_duplicates(
     and ``kept`` marks the row that has it. A row without an id is linked like others, but
     gives no component its id; alone, its ``component_id`` is null and it is kept. Rows
     that share an id keep or lose their places together if their texts are linked.
-    Each pair that is similar enough is found with a probability of at least
-    ``1 - 0.63 ** trees``.
+    A pair at the threshold meets in a child of a tree's root with a probability of
+    ``1 - 1 / e``, which ``trees`` independent trees raise to all but certainty.
     """
     texts = docs.select(column(docs, doc_id).alias("doc"), column(docs, text).alias("text"))
     signed = written(
         texts.mapInArrow(
             _signatures(k),
-            schema(doc=texts.schema["doc"].dataType, size="bigint", **{"class": "binary"},
+            schema(doc=texts.schema["doc"].dataType, size="bigint", digest="binary",
                    tokens="array<int>"),
         ),
         "signatures",
     )
     # Copies meet here: one row per task and class moves, however many copies there are.
     classes = written(
-        signed.filter("size > 0").groupBy("class")
+        signed.filter("size > 0").groupBy("digest")
         .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"),
-             F.first("size").alias("size"), F.first("tokens").alias("tokens")),
+             F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+        .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
     join = _Join(texts, classes, k, percent)
     share = 100 / percent / PLACES
     roots = F.array(*[F.xxhash64(F.lit("root"), F.lit(i)) for i in range(trees)])
-    members = _children(classes.select(F.explode(roots).alias("node"), "class"), classes, share)
-    members = _sized(written(members, "members").distinct(), "tree-nodes")
-    for _ in range(DEEPEST):
+    first = _children(classes.select(F.explode(roots).alias("node"), "class"), classes, share)
+    below = written(first.distinct(), "members")
+    while True:
+        members = _with_leaders(below)
+        forget(below)
         if members.isEmpty():
             break
-        to_leader = members.filter("class <> leader").select(
-            F.col("leader").alias("a"), F.col("class").alias("b")
-        )
-        join.compare(to_leader)
-        open_nodes = _open(join, members)
-        # Small nodes: all pairs in different components, of at most SMALL classes.
-        small = open_nodes.filter(F.col("n") <= SMALL)
+        join.compare(_to_leaders(members))
+        several = _open(join, members)
+        small = several.filter("is_small").select("node", "class", "component")
         other = small.select("node", F.col("class").alias("b"), F.col("component").alias("other"))
         join.compare(
-            small.select("node", F.col("class").alias("a"), "component").join(other, "node")
+            small.withColumnRenamed("class", "a").join(other, "node")
             .filter("a < b AND component <> other").select("a", "b")
         )
-        large = open_nodes.filter(F.col("n") > SMALL).select("node", "class")
-        forget(members)
-        below = written(_children(large, classes, share).distinct(), "members")
-        members = _sized(below, "tree-nodes")
-        forget(open_nodes, below)
+        large = several.filter("NOT is_small").select("node", "class")
+        below = written(_below(large, classes, share), "members")
+        forget(members, several)
     return _result(signed, classes, join, docs, doc_id)
 
 
 def _open(join: _Join, members: DataFrame) -> DataFrame:
-    """Members of the nodes that span several components."""
-    own = written(join.labelled(members), "labelled")
-    several = (
-        own.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                F.count(F.lit(1)).alias("size"))
-        .filter("low <> high").select("node", "size")
+    """Members of the nodes that span several components, and whether those are small."""
+    own = written(join.labelled(members.filter("n > 2")), "labelled")
+    parts = own.groupBy("node", "component").agg(F.count(F.lit(1)).cast("double").alias("size"))
+    nodes = parts.groupBy("node").agg(
+        F.sum("size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("joined")
+    ).withColumn("pairs", (F.col("n") * F.col("n") - F.col("joined")) / 2)
+    nodes = nodes.filter("pairs > 0").select(
+        "node", F.col("n").alias("size"), (F.col("pairs") <= OPEN_PAIRS * F.col("n")).alias("is_small")
     )
-    several = written(several, "open-nodes")
-    out = written(heavy_split(own, several, "node", "size", own.count()).drop("size"), "open")
-    forget(own, several)
+    rows = own.select("node", "class", "component")
+    out = written(heavy_split(rows, written(nodes, "open-nodes"), "node", "size", own.count()), "open")
+    forget(own)
     return out
 
 
 def _result(signed, classes, join: _Join, docs: DataFrame, doc_id: str) -> DataFrame:
-    own = join.labelled(classes.select("class", "doc", "copies"))
+    own = join.labelled(classes.select("class", "digest", "doc", "copies"))
     ids = own.groupBy("component").agg(F.min("doc").alias("least"))
     if join.labels is None:
-        least = classes.select("class", "copies", F.col("doc").alias("least"))
+        least = classes.select("digest", "copies", F.col("doc").alias("least"))
     else:
         sized = own.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(ids, "component")
         least = heavy_split(own, written(sized, "component-ids"), "component", "n", own.count())
-        least = least.select("class", "copies", "least")
+        least = least.select("digest", "copies", "least")
     least = written(least, "class-ids")
-    some = signed.filter("size > 0").select("doc", "size", "class")
-    found = heavy_split(some, least, "class", "copies", some.count()).select("doc", "size", "least")
+    some = signed.filter("size > 0").select("doc", "size", "digest")
+    found = heavy_split(some, least, "digest", "copies", some.count()).select("doc", "size", "least")
     none = signed.filter("size = 0").select("doc", "size", F.col("doc").alias("least"))
     return found.unionByName(none).select(
         F.col("doc").alias("doc_id"),
