@@ -17,7 +17,20 @@ from pyspark.sql import types as T
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
+#: Python workers receive rows in batches of about so many bytes.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once by bytes, since texts differ in length.
+
+    This sets ``spark.sql.execution.arrow.maxBytesPerBatch`` for the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +61,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, and row numbers
     given before the write stay what they are.
     """
+    small_batches(df.sparkSession)
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)

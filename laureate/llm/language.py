@@ -26,8 +26,12 @@ from laureate.llm.common import (
 
 #: Latent states, words with a class of their own, classes of the others, training rounds.
 STATES, OWN, SHARED, ROUNDS = 8, 2047, 1024, 4
+#: Occurrences a word needs for a class of its own.
+LEAST_OWN = 3
 #: Bytes of text in a block, and tokens after which a long text is cut to run in parallel.
-BLOCK_BYTES, SEGMENT = 8 << 20, 2048
+BLOCK_BYTES, SEGMENT = 16 << 20, 2048
+#: Blocks a task may have, and words a block may have, as powers of two.
+BLOCK_BITS, PLACE_BITS, CLASS_BITS = 10, 26, 12
 #: The end of a text as a word. No word holds a line feed.
 END = "\n"
 #: Expected counts are summed in units of 2^-20.
@@ -66,7 +70,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _as_blocks(block_bytes: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, ids, held, texts, size = row_numbers(), [], [], [], 0
+        # Fewer bits than other row numbers, as places in a block are added to them.
+        numbers = ((n >> 33 << BLOCK_BITS) + n % (1 << 33) for n in row_numbers())
+        ids, held, texts, size = [], [], [], 0
         for part in parts:
             for doc, out, text in zip(*(c.to_pylist() for c in part.columns)):
                 ids.append(doc)
@@ -139,10 +145,11 @@ def _coded(total: int, distinct: int, sums: np.ndarray, kinds: np.ndarray):
         for part in parts:
             for i in range(part.num_rows):
                 entries = part.column(0)[i].values
-                place = entries.field(0).to_numpy()
+                code = entries.field(0).to_numpy()
+                place = code >> CLASS_BITS
                 counts, classes = (np.empty(len(place), dtype=np.int64) for _ in range(2))
                 counts[place] = entries.field(1).to_numpy()
-                classes[place] = entries.field(2).to_numpy()
+                classes[place] = code & ((1 << CLASS_BITS) - 1)
                 base = np.log10((counts + 0.5) / all_total)
                 inside = np.where(
                     own[classes], 0.0, np.log10((counts + 0.5) / class_total[classes])
@@ -391,18 +398,24 @@ def score(
         column(docs, text).alias("text"),
     )
     blocks = written(rows.mapInArrow(_as_blocks(block_bytes), _BLOCKS), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
+    words = blocks.select(
+        "block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")
+    ).select(
+        (F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("key"),
+        F.col("w.words").alias("word"), F.col("w.counts").alias("n"),
+    )
     by_word = Window.partitionBy("word")
+    counted = words.select(
+        "key", "word", F.sum("n").over(by_word).alias("n"),
+        (F.row_number().over(by_word.orderBy("key")) == 1).alias("first"),
+    )
     counted = written(
-        words.select("block", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-        .select(
-            "block", "place",
-            F.sum("n").over(by_word).alias("n"),
-            (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"),
-            F.xxhash64("word").alias("hash"),
-            (F.col("word") == END).alias("is_end"),
-            (F.pmod(F.crc32(F.right("word", F.lit(3)).cast("binary")), F.lit(SHARED)) + OWN + 1)
-            .cast("int").alias("shared"),
+        counted.select(
+            "key", "n", "first",
+            F.when(F.col("n") >= LEAST_OWN, F.xxhash64("word")).alias("hash"),
+            F.when(F.col("word") == END, 0).otherwise(
+                F.pmod(F.crc32(F.right("word", F.lit(3)).cast("binary")), F.lit(SHARED)) + OWN + 1
+            ).cast("int").alias("shared"),
         ),
         "counted",
     )
@@ -410,14 +423,14 @@ def score(
     own = [
         (r["hash"], r["n"], i)
         for i, r in enumerate(
-            counted.filter("first AND n > 0 AND NOT is_end")
+            counted.filter(f"first AND n >= {LEAST_OWN} AND shared > 0")
             .orderBy(F.desc("n"), "hash").limit(OWN).collect(), 1,
         )
     ]
     named = docs.sparkSession.createDataFrame(own, "hash bigint, n bigint, own int")
     classed = counted.join(F.broadcast(named), ["hash", "n"], "left").select(
-        "block", "place", "n", "first",
-        F.when(F.col("is_end"), 0).otherwise(F.coalesce("own", "shared")).alias("class"),
+        "key", "n", "first",
+        F.when(F.col("shared") == 0, 0).otherwise(F.coalesce("own", "shared")).alias("class"),
     )
     found = (
         classed.filter("first").groupBy("class")
@@ -427,8 +440,11 @@ def score(
     for r in found:
         sums[r["class"]], kinds[r["class"]] = r["n"], r["kinds"]
     total, distinct = int(sums.sum()), int(kinds.sum())
-    entries = classed.groupBy("block").agg(
-        F.collect_list(F.struct("place", "n", "class")).alias("entries")
+    place = F.col("key") % (1 << PLACE_BITS)
+    entries = classed.groupBy(F.shiftright("key", PLACE_BITS).alias("block")).agg(
+        F.collect_list(
+            F.struct((F.shiftleft(place, CLASS_BITS) + F.col("class")).alias("code"), "n")
+        ).alias("entries")
     )
     coded = written(
         blocks.select("block", "ids", "doc_ids", "held", "lengths").join(entries, "block")
