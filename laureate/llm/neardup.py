@@ -27,8 +27,10 @@ from laureate.llm.common import (
 
 #: Minwise tokens of a signature and independent trees.
 PLACES, TREES = 64, 16
+#: Trees grown before all others, whose nodes are mostly settled by what these find.
+FIRST_TREES = 2
 #: Members that a whole node is compared with.
-LEADERS = 3
+LEADERS = 8
 #: A node is small if it has at most so many open pairs for each member, as a node of
 #: 64 classes has without any link.
 OPEN_PAIRS = 32
@@ -341,16 +343,28 @@ def near_duplicates(
     )
     join = _Join(texts, classes, k, percent)
     share = 100 / percent / PLACES
-    roots = F.array(*[F.xxhash64(F.lit("root"), F.lit(i)) for i in range(trees)])
-    first = _children(classes.select(F.explode(roots).alias("node"), "class"), classes, share)
-    below = written(first.distinct(), "members")
+    for some in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
+        if some:
+            roots = F.array(*[F.xxhash64(F.lit("root"), F.lit(i)) for i in some])
+            start = classes.select(F.explode(roots).alias("node"), "class")
+            _grow(join, _children(start, classes, share).distinct(), classes, share)
+    return _result(signed, classes, join, docs, doc_id)
+
+
+def _grow(join: _Join, nodes: DataFrame, classes: DataFrame, share: float) -> None:
+    """Compare within nodes, given as (node, class), and below them until none is open."""
+    below = written(nodes, "members")
     while True:
         members = _with_leaders(below)
         forget(below)
         if members.isEmpty():
             break
+        if join.labels is not None:
+            settled = members
+            members = _open(join, members)
+            forget(settled)
         join.compare(_to_leaders(members))
-        several = _open(join, members)
+        several = _open(join, members.filter("n > 2"))
         small = several.filter("is_small").select("node", "class", "component")
         other = small.select("node", F.col("class").alias("b"), F.col("component").alias("other"))
         join.compare(
@@ -360,12 +374,12 @@ def near_duplicates(
         large = several.filter("NOT is_small").select("node", "class")
         below = written(_below(large, classes, share), "members")
         forget(members, several)
-    return _result(signed, classes, join, docs, doc_id)
 
 
 def _open(join: _Join, members: DataFrame) -> DataFrame:
     """Members of the nodes that span several components, and whether those are small."""
-    own = written(join.labelled(members.filter("n > 2")), "labelled")
+    plain = members.select("node", "class", "n", "leads")
+    own = written(join.labelled(plain), "labelled")
     parts = own.groupBy("node", "component").agg(F.count(F.lit(1)).cast("double").alias("size"))
     nodes = parts.groupBy("node").agg(
         F.sum("size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("joined")
@@ -373,7 +387,7 @@ def _open(join: _Join, members: DataFrame) -> DataFrame:
     nodes = nodes.filter("pairs > 0").select(
         "node", F.col("n").alias("size"), (F.col("pairs") <= OPEN_PAIRS * F.col("n")).alias("is_small")
     )
-    rows = own.select("node", "class", "component")
+    rows = own.select("node", "class", "n", "leads", "component")
     out = written(heavy_split(rows, written(nodes, "open-nodes"), "node", "size", own.count()), "open")
     forget(own)
     return out
