@@ -29,7 +29,9 @@ STATES, OWN, SHARED, ROUNDS = 8, 2047, 1024, 4
 #: Occurrences a word needs for a class of its own.
 LEAST_OWN = 3
 #: Bytes of text in a block, and tokens after which a long text is cut to run in parallel.
-BLOCK_BYTES, SEGMENT = 16 << 20, 2048
+BLOCK_BYTES, SEGMENT = 8 << 20, 2048
+#: Tokens of texts that are run through the recursions together.
+TOGETHER = 1 << 18
 #: Blocks a task may have, and words a block may have, as powers of two.
 BLOCK_BITS, PLACE_BITS, CLASS_BITS = 10, 26, 12
 #: The end of a text as a word. No word holds a line feed.
@@ -86,20 +88,30 @@ def _as_blocks(block_bytes: int):
             yield block(next(numbers), ids, held, texts)
 
     def block(number: int, ids: list, held: list, texts: list[bytes]) -> pa.RecordBatch:
-        groups = [Words(g) for g in grouped(texts)]
-        lengths = np.concatenate([np.diff(g.first) for g in groups])
-        hashes = np.concatenate([g.hashes for g in groups])
-        _, first, number_of = np.unique(hashes, return_index=True, return_inverse=True)
+        # Group by group, so that only distinct words are kept of each.
+        lengths, kinds, own, strings = [], [], [], []
+        for group in grouped(texts):
+            found = Words(group)
+            kind, first, which = np.unique(found.hashes, return_index=True, return_inverse=True)
+            lengths.append(np.diff(found.first))
+            own.append((which + sum(map(len, kinds))).astype(np.int32))
+            kinds.append(kind)
+            data = found.data.tobytes()
+            spans = zip(found.starts[first].tolist(), found.ends[first].tolist())
+            strings += [data[x:y] for x, y in spans]
+        lengths = np.concatenate(lengths)
+        _, first, merged = np.unique(np.concatenate(kinds), return_index=True, return_inverse=True)
+        number_of = merged.astype(np.int32)[np.concatenate(own)]
         learns = np.repeat(~np.array(held), lengths)
         often = np.bincount(number_of, minlength=len(first))
         # Frequent words get small numbers, and the end of a text gets 0.
         order = np.argsort(-often, kind="stable")
-        place = np.empty(len(order), dtype=np.int64)
+        place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(1, len(order) + 1)
         counts = np.bincount(place[number_of[learns]], minlength=len(order) + 1)
         counts[0] = len(held) - sum(held)
-        words = [END.encode(), *_strings(groups, first[order])]
-        sequence = np.zeros(len(hashes) + len(ids), dtype=np.int64)
+        words = [END.encode(), *(strings[i] for i in first[order].tolist())]
+        sequence = np.zeros(len(number_of) + len(ids), dtype=np.int32)
         ends = np.cumsum(lengths + 1) - 1
         inner = np.ones(len(sequence), dtype=bool)
         inner[ends] = False
@@ -115,17 +127,6 @@ def _as_blocks(block_bytes: int):
     return run
 
 
-def _strings(groups: list[Words], at: np.ndarray) -> list[bytes]:
-    """The bytes of the words at the given places in all groups."""
-    base = np.concatenate([[0], np.cumsum([len(g.starts) for g in groups])])
-    group = np.searchsorted(base, at, side="right") - 1
-    data = [g.data.tobytes() for g in groups]
-    out = []
-    for g, i in zip(group.tolist(), (at - base[group]).tolist()):
-        out.append(data[g][groups[g].starts[i] : groups[g].ends[i]])
-    return out
-
-
 # Word classes of a block
 
 
@@ -314,6 +315,16 @@ class _Texts:
         return heads[self.number == 0].sum(0), moves + joint * self.model.moves, np.stack(emit, 1)
 
 
+def _together(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """(texts, tokens) of groups of neighbouring texts."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + TOGETHER, side="right")) - 1)
+        yield slice(a, b), slice(int(ends[a]), int(ends[b]))
+        a = b
+
+
 # Training
 
 
@@ -332,8 +343,10 @@ def _expected(model: Model):
                     continue
                 classes = _unpacked(part.column(2)[i].as_py())
                 classes = classes[np.repeat(~held, lengths)]
-                a, b, c = _Texts(model, classes, lengths[~held].astype(np.int64)).expected()
-                starts, moves, emit = starts + a, moves + b, emit + c
+                lengths = lengths[~held].astype(np.int64)
+                for texts, tokens in _together(lengths):
+                    a, b, c = _Texts(model, classes[tokens], lengths[texts]).expected()
+                    starts, moves, emit = starts + a, moves + b, emit + c
         rows = np.concatenate([starts[None], moves, emit])
         numbers = np.arange(len(rows))
         some = rows.any(1)
@@ -463,7 +476,11 @@ def score(
                     part.column(c)[i].values for c in range(6)
                 )
                 size = lengths.to_numpy().astype(np.int64)
-                logs = _Texts(model, _unpacked(part.column(6)[i].as_py()), size).likelihood()
+                classes = _unpacked(part.column(6)[i].as_py())
+                logs = np.concatenate([
+                    _Texts(model, classes[tokens], size[texts]).likelihood()
+                    for texts, tokens in _together(size)
+                ])
                 scores = logs / np.log(10) + inside.to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [ids, held, pa.array(size), known, pa.array(np.full(len(size), total)), base,
