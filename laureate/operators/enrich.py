@@ -29,7 +29,7 @@ def seed_by_year(
     A year tolerance is a range join; repeating each seed row for the few years
     it covers turns it into a join on equal keys. ``keep="nearest"`` leaves the
     closest seed row per name and title year (the earlier one of two equally
-    close), ``"all"`` leaves every one, at most ``2 * tolerance + 1``.
+    close), ``"all"`` leaves every one, also those that repeat a name and year.
     """
     if keep not in ("nearest", "all"):
         raise ValueError(f"keep must be 'nearest' or 'all', not {keep!r}")
@@ -39,7 +39,8 @@ def seed_by_year(
         F.col("release_year").alias("seed_year"),
         *SEED_FIELDS,
     )
-    curated = keep_first(curated, [F.col("_match_name"), F.col("seed_year")], tie)
+    if keep == "nearest":
+        curated = keep_first(curated, [F.col("_match_name"), F.col("seed_year")], tie)
     years = curated.withColumn(
         "_match_year",
         F.explode(

@@ -87,7 +87,7 @@ seed AS (
         CASE WHEN c_custkey % 3 = 0 THEN '' ELSE r_name END AS genre_clean,
         c_custkey % 10 = 0 AS is_vr
     FROM customer, nation, region
-    WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_custkey % 5 = 0
+    WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey
 )"""
 
 FLAGS = """

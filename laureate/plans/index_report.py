@@ -27,6 +27,15 @@ def pillars(years: DataFrame) -> DataFrame:
     )
 
 
+def gated_years(
+    titles: DataFrame, gates: Gates = DEFAULT_GATES, denominator: str = "all"
+) -> DataFrame:
+    """The profile of every year with enough scored titles."""
+    return min_size(
+        year_profile(titles, gates, denominator), "scored_games", gates.min_scored_per_year
+    )
+
+
 def index_report(
     titles: DataFrame,
     gates: Gates = DEFAULT_GATES,
@@ -39,10 +48,7 @@ def index_report(
     Titles are reduced to one row per year first, so every window below sees at
     most as many rows as there are covered years.
     """
-    years = min_size(
-        year_profile(titles, gates, denominator), "scored_games", gates.min_scored_per_year
-    )
-    scored = pillars(years).withColumn("golden_era_index", composite(on_null=on_null))
+    scored = pillars(gated_years(titles, gates, denominator)).withColumn("golden_era_index", composite(on_null=on_null))
     return scored.withColumns(
         {
             "yoy_score_delta": period_delta(

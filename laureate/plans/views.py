@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laureate.fixed import DEFAULT_GATES, ERAS, PRIMARY_SOURCE, Gates
+from laureate.fixed import DEFAULT_GATES, ERAS, PRIMARY_SOURCE, UNKNOWN, Gates
 from laureate.functions.numbers import mean
 from laureate.operators.metrics import genre_era
 from laureate.operators.reuse import written_once
@@ -25,11 +25,10 @@ CHAMPION_FILTERS = {
 
 
 def champions(report: DataFrame, *kinds: str, genre: str | None = None) -> DataFrame:
-    """Rows of the champions report of any of the kinds, or of one genre."""
-    wanted = [CHAMPION_FILTERS[k]() for k in kinds]
-    if genre is not None:
-        wanted.append(F.col("genre") == genre)
-    return report.filter(reduce(lambda a, b: a | b, wanted))
+    """Rows of the champions report of any of the kinds, and of one genre if it is given."""
+    if kinds:
+        report = report.filter(reduce(lambda a, b: a | b, [CHAMPION_FILTERS[k]() for k in kinds]))
+    return report if genre is None else report.filter(F.col("genre") == genre)
 
 
 def mean_gap(items: DataFrame, by: str) -> DataFrame:
@@ -112,11 +111,17 @@ def quality_matrix(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
 
 
 def quality_matrix_wide(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
-    """The same with a column per era; the eras are given, so no extra pass finds them."""
+    """The same with a column per era; the eras are given, so no extra pass finds them.
+
+    Gates that admit years outside all eras add a column for those.
+    """
+    labels = [label for _, _, label in ERAS]
+    if gates.first_year < ERAS[0][0] or gates.last_year > ERAS[-1][1]:
+        labels.append(UNKNOWN)
     return (
         quality_matrix(games, gates)
         .groupBy("genre")
-        .pivot("era_label", [label for _, _, label in ERAS])
+        .pivot("era_label", labels)
         .agg(F.first("quality_index"))
     )
 

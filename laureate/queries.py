@@ -44,8 +44,12 @@ def _years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.year_profile(trade.titles(spark, sf_dir))
 
 
+def _gated_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_report.gated_years(trade.titles(spark, sf_dir))
+
+
 def _indexed_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_report.pillars(_years(spark, sf_dir)).withColumn(
+    return index_report.pillars(_gated_years(spark, sf_dir)).withColumn(
         "golden_era_index", scale.composite()
     )
 
@@ -210,7 +214,7 @@ def q_win_rank_flagged(spark, sf_dir):
 
 @query
 def q_win_lag(spark, sf_dir):
-    return _years(spark, sf_dir).select(
+    return _gated_years(spark, sf_dir).select(
         "release_year", "avg_critic_score", "scored_games",
         trend.period_delta("avg_critic_score", places=2).alias("yoy_score_delta"),
         trend.period_delta("scored_games").alias("yoy_volume_delta"),
@@ -238,7 +242,7 @@ def q_win_first_value(spark, sf_dir):
 
 @query
 def q_win_minmax(spark, sf_dir):
-    return index_report.pillars(_years(spark, sf_dir)).select(
+    return index_report.pillars(_gated_years(spark, sf_dir)).select(
         "release_year", "p1_quality_rate", "p2_avg_score", "p3_genre_diversity", "p4_volume",
         "p5_longevity",
     )
@@ -297,7 +301,7 @@ def q_era_label(spark, sf_dir):
 
 @query
 def q_composite_index(spark, sf_dir):
-    return index_report.pillars(_years(spark, sf_dir)).select(
+    return index_report.pillars(_gated_years(spark, sf_dir)).select(
         "release_year",
         scale.composite().alias("golden_era_index"),
         scale.composite(on_null="zero").alias("index_null_as_zero"),

@@ -99,14 +99,28 @@ ITEM_COLUMNS = (
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns with its types; absent ones become typed NULLs.
 
-    Casts are ANSI casts, so a value that does not fit its column fails the job
-    instead of turning into NULL.
+    A value that does not fit its column fails the job instead of turning into NULL or
+    being cut: casts are ANSI casts, and a fractional number has to stay the same.
     """
-    have = set(df.columns)
+    have = {f.name: f.dataType for f in df.schema.fields}
     return df.selectExpr(
-        *[
-            f"CAST({f.name if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) "
-            f"AS {f.name}"
-            for f in schema.fields
-        ]
+        *[f"{_fitted(f, have.get(f.name))} AS {f.name}" for f in schema.fields]
+    )
+
+
+def _fitted(field: T.StructField, have: T.DataType | None) -> str:
+    kind, name = field.dataType.simpleString(), field.name
+    if have is None:
+        return f"CAST(NULL AS {kind})"
+    cast = f"CAST({name} AS {kind})"
+    narrows = isinstance(have, T.FractionalType) and not isinstance(
+        field.dataType, (T.DoubleType, T.StringType)
+    )
+    if not narrows or have == field.dataType:
+        return cast
+    message = f"concat('{name} does not fit {kind}: ', CAST({name} AS STRING))"
+    return (
+        f"CASE WHEN {name} IS NULL THEN NULL "
+        f"WHEN CAST({cast} AS {have.simpleString()}) = {name} THEN {cast} "
+        f"ELSE CAST(raise_error({message}) AS {kind}) END"
     )

@@ -15,10 +15,14 @@ def merge_sources(
     secondary: DataFrame,
     gates: Gates = DEFAULT_GATES,
     secondary_name: str = "metacritic",
+    unicode_names: bool = True,
+    any_whitespace: bool = False,
 ) -> DataFrame:
     """One row per title and year, the primary source's where both have it.
 
-    Only scored titles within the covered years stay.
+    Only scored titles within the covered years stay. Titles in other scripts are told
+    apart; ``unicode_names=False`` compares ASCII letters and digits only, as the
+    reports do by default, so such titles of one year share a row.
     """
     both = conform(
         primary.withColumn("source", F.lit(PRIMARY_SOURCE)), STAGING
@@ -27,4 +31,6 @@ def merge_sources(
         F.col("critic_score").between(0, 100)
         & F.col("release_year").between(gates.first_year, gates.last_year)
     )
-    return best_title(scored)
+    return best_title(
+        scored, unicode_letters=unicode_names, any_whitespace=any_whitespace
+    )

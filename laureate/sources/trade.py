@@ -77,7 +77,6 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     curated = (
         _table(spark, sf_dir, "customer")
-        .filter("c_custkey % 5 = 0")
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .selectExpr(
             "concat('  ', upper(c_name), ' ') AS game_name",

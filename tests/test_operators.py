@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from laureate.fixed import Gates
 from laureate.operators import dedup, enrich, metrics, rank, scale, trend
-from laureate.plans import base, champions, timeline
+from laureate.plans import base, champions, index_report, timeline
 from tests import rows
 
 
@@ -59,10 +59,18 @@ def test_seed_fan_out(spark):
     assert [r.seed_year for r in enrich.tolerant_join(table, without_exact).collect()] == [1999]
 
 
-def test_seed_rows_repeated_for_a_year_do_not_fan_out(spark):
+def test_seed_rows_repeated_for_a_year(spark):
     table = rows.titles(spark, {"name_raw": "Doom"})
     seed = rows.seed(spark, ("doom", 2000, "b", None, None), ("Doom", 2000, "a", None, None))
-    assert enrich.tolerant_join(table, seed, keep="all").count() == 1
+    assert enrich.tolerant_join(table, seed).count() == 1
+    every = enrich.tolerant_join(table, seed, keep="all")
+    assert sorted(r.developer_clean for r in every.collect()) == ["a", "b"]
+
+
+def test_years_below_the_gate_are_left_out(spark):
+    scored = [{"release_year": 2000, "critic_score": 80 + i, "game_key": str(i)} for i in range(5)]
+    table = rows.titles(spark, *scored, {"release_year": 2001, "game_key": "x"})
+    assert [r.release_year for r in index_report.gated_years(table).collect()] == [2000]
 
 
 def test_flag(spark):

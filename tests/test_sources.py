@@ -87,6 +87,21 @@ def test_merge(spark):
     }
 
 
+def test_merge_keeps_titles_in_other_scripts_apart(spark):
+    primary = rows.titles(spark, {"name_raw": "三国志"}, {"name_raw": "水浒传"})
+    none = primary.limit(0)
+    assert merge_sources(primary, none).count() == 2
+    assert merge_sources(primary, none, unicode_names=False).count() == 1
+
+
+def test_conform_refuses_fractions_of_whole_numbers(spark):
+    good = spark.createDataFrame([("k", 74.0), ("l", None)], "game_key string, critic_score double")
+    assert rows.by(conform(good, STAGING), "game_key", "critic_score") == {"k": 74, "l": None}
+    bad = spark.createDataFrame([("k", 74.9)], "game_key string, critic_score double")
+    with pytest.raises(PySparkException):
+        conform(bad, STAGING).collect()
+
+
 def test_conform_refuses_values_that_do_not_fit(spark):
     df = spark.createDataFrame([("k", "many")], "game_key string, reviews_total string")
     with pytest.raises(PySparkException):
