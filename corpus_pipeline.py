@@ -12,7 +12,7 @@ from laureate.llm.neardup import near_representatives
 from laureate.llm.packing import pack
 from laureate.llm.quality import THRESHOLD, learned, with_score
 
-#: SQL cannot express the stages; the tests hold them against plain Python.
+#: SQL cannot express the stages. The tests check the operators; the whole is not tested yet.
 ORACLE_SQL = None
 
 
