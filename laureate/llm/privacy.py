@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laureate.llm.common import (
@@ -163,19 +163,37 @@ def _term_hash(terms: list[str]) -> np.ndarray:
     return Words([" ".join(terms).encode("utf-8", "surrogatepass")]).hashes
 
 
+#: Hashes that a task holds before it adds up those that are equal.
+_HELD = 1 << 20
+
+
 def _holding(mask: np.ndarray):
-    """Hashes of the terms each document holds, of those that may be in the filter."""
+    """(hash, holding): how many texts hold each word, of those that may be in the filter.
+
+    Tasks add up what they hold, so a frequent word gives few rows.
+    """
+
+    def summed(found: list[np.ndarray]) -> pa.RecordBatch:
+        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], ["hash", "holding"]
+        )
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in parts:
             for group in grouped([plain_bytes(t, _LETTERS) for t in part.column(0).to_pylist()]):
                 words = Words(group)
                 at = np.flatnonzero(in_filter(mask, words.hashes))
                 text = np.searchsorted(words.first, at, side="right")
                 found = np.unique(np.stack([text.astype(np.uint64), words.hashes[at]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[:, 1].copy().view(np.int64))], ["hash"]
-                )
+                held.append(found[:, 1].copy())
+                size += len(found)
+                if size >= _HELD:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
 
     return run
 
@@ -201,10 +219,31 @@ def disclosing(
     copies of a text are no evidence.
     """
     near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
+    known = (
+        near.select("row", "entity").distinct()
+        .groupBy("entity").agg(F.count(F.lit(1)).alias("known"))
+    )
+    # A term is held by no fewer documents than have it near any entity.
+    spread = (
+        near.select("row", "term").distinct()
+        .groupBy("term").agg(F.count(F.lit(1)).alias("spread"))
+    )
+    total = max(scanned.count(), 1)
+
+    def disclosure(holding: str) -> Column:
+        n = F.lit(float(total))
+        mutual = F.log2(
+            F.col("together") * n / (F.greatest(holding, "together") * F.col("known"))
+        )
+        return mutual / F.log2(n / F.col("known"))
+
     pairs = written(
         near.groupBy("entity", "term")
         .agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("together"))
-        .filter(F.col("contexts") >= least),
+        .filter(F.col("contexts") >= least)
+        .join(known, "entity").filter(F.col("known") < total)
+        .join(spread, "term").filter(disclosure("spread") >= share)
+        .select("entity", "term", "together", "known"),
         "pairs",
     )
     terms = written(
@@ -212,23 +251,12 @@ def disclosing(
     )
     mask = bit_filter(terms, "hash")
     held = (
-        docs.select(column(docs, text)).mapInArrow(_holding(mask), "hash bigint")
-        .groupBy("hash").agg(F.count(F.lit(1)).alias("holding"))
-    )
-    known = (
-        near.select("row", "entity").distinct()
-        .groupBy("entity").agg(F.count(F.lit(1)).alias("known"))
-    )
-    total = max(scanned.count(), 1)
-    information = F.log2(F.lit(float(total)) / F.col("known"))
-    mutual = F.log2(
-        F.col("together") * F.lit(float(total)) / (F.greatest("holding", "together") * F.col("known"))
+        docs.select(column(docs, text)).mapInArrow(_holding(mask), "hash bigint, holding bigint")
+        .groupBy("hash").agg(F.sum("holding").alias("holding"))
     )
     return (
-        pairs.join(known, "entity")
-        .join(terms.join(held, "hash").select("term", "holding"), "term")
-        .filter(F.col("known") < total)
-        .withColumn("disclosure", mutual / information)
+        pairs.join(terms.join(held, "hash").select("term", "holding"), "term")
+        .withColumn("disclosure", disclosure("holding"))
         .filter(F.col("disclosure") >= share)
         .select("entity", "term", "disclosure", "together")
     )
