@@ -124,11 +124,12 @@ class _Join:
         self.least = int((percent / 100 - SLACK) * PLACES)
         self.sets: DataFrame | None = None
         self.tried: DataFrame | None = None
-        self.links: DataFrame | None = None
+        #: Links found since components were last worked out.
+        self.fresh: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def compare(self, pairs: DataFrame) -> bool:
-        """Test distinct pairs (a, b), a < b; true if any of them were linked."""
+    def compare(self, pairs: DataFrame) -> None:
+        """Test distinct pairs (a, b), a < b, and keep the links among them."""
         pairs = pairs.distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
@@ -152,7 +153,7 @@ class _Join:
         )
         if close.isEmpty():
             forget(close)
-            return False
+            return
         self._load(close)
         a = self.sets.select(F.col("class").alias("a"), F.col("items").alias("items_a"))
         b = self.sets.select(F.col("class").alias("b"), F.col("items").alias("items_b"))
@@ -160,13 +161,48 @@ class _Join:
         found = written(full.mapInArrow(_linked(self.percent), "a bigint, b bigint"), "links")
         self.tried = _more(self.tried, close, "tried")
         if found.isEmpty():
-            return False
-        self.links = _more(self.links, found, "all-links")
-        labels = components(self.links)
-        if self.labels is not None:
-            forget(self.labels)
-        self.labels = labels
-        return True
+            forget(found)
+        else:
+            self.fresh = _more(self.fresh, found, "fresh")
+
+    def relabel(self) -> None:
+        """Bring components up to date: new links join those there are, as if each were
+        a single class, so old links are not gone through again."""
+        fresh, old, self.fresh = self.fresh, self.labels, None
+        if fresh is None:
+            return
+        if old is None:
+            self.labels = components(fresh)
+            return
+        ends = fresh.select("a", "b")
+        for side in ("a", "b"):
+            own = old.select(F.col("class").alias(side), "component")
+            ends = ends.join(own, side, "left").withColumn(
+                side, F.coalesce("component", side)
+            ).drop("component")
+        between = written(
+            ends.filter("a <> b")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+            "between",
+        )
+        if between.isEmpty():
+            forget(between)
+            return
+        found = components(between)
+        moves = found.select(F.col("class").alias("component"), F.col("component").alias("to"))
+        sized = old.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        sized = sized.join(moves, "component", "left").select(
+            "component", "n", F.coalesce("to", "component").alias("to")
+        )
+        sized = written(sized, "moves")
+        moved = heavy_split(old, sized, "component", "n", old.count())
+        first = found.join(old.select("class"), "class", "left_anti")
+        self.labels = written(
+            moved.select("class", F.col("to").alias("component"))
+            .unionByName(first.select("class", "component")),
+            "labels",
+        )
+        forget(old, between, found, sized)
 
     def _load(self, pairs: DataFrame) -> None:
         """Full sets of the classes in ``pairs`` that are not loaded yet."""
@@ -352,18 +388,21 @@ def near_duplicates(
 
 
 def _grow(join: _Join, nodes: DataFrame, classes: DataFrame, share: float) -> None:
-    """Compare within nodes, given as (node, class), and below them until none is open."""
+    """Compare within nodes, given as (node, class), and below them until none is open.
+
+    Components are worked out once a level. What is not known of them in between only costs
+    some pairs more.
+    """
     below = written(nodes, "members")
-    while True:
+    while below is not None:
         members = _with_leaders(below)
         forget(below)
-        if members.isEmpty():
-            break
         if join.labels is not None:
             settled = members
             members = _open(join, members)
             forget(settled)
         join.compare(_to_leaders(members))
+        join.relabel()
         several = _open(join, members.filter("n > 2"))
         small = several.filter("is_small").select("node", "class", "component")
         other = small.select("node", F.col("class").alias("b"), F.col("component").alias("other"))
@@ -372,8 +411,10 @@ def _grow(join: _Join, nodes: DataFrame, classes: DataFrame, share: float) -> No
             .filter("a < b AND component <> other").select("a", "b")
         )
         large = several.filter("NOT is_small").select("node", "class")
-        below = written(_below(large, classes, share), "members")
+        none = large.isEmpty()
+        below = None if none else written(_below(large, classes, share), "members")
         forget(members, several)
+    join.relabel()
 
 
 def _open(join: _Join, members: DataFrame) -> DataFrame:
