@@ -12,7 +12,8 @@ from laureate.llm.neardup import near_representatives
 from laureate.llm.packing import pack
 from laureate.llm.quality import THRESHOLD, learned, with_score
 
-#: SQL cannot express the stages. The tests check the operators; the whole is not tested yet.
+#: SQL cannot express the stages. The tests compare each with a plain version on its own input;
+#: the quality stage, whose scores are learned, with the scores of its operator.
 ORACLE_SQL = None
 
 
