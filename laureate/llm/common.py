@@ -100,7 +100,9 @@ def row_numbers() -> Iterator[int]:
         first += 1
 
 
-def heavy_split(left: DataFrame, right: DataFrame, key: str, weight: str, total: int):
+def heavy_split(
+    left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int
+):
     """Inner join of ``left`` with ``right``, which has one row per key.
 
     ``weight`` says how many rows of ``left`` have the key. Keys above a fair

@@ -95,6 +95,41 @@ def test_repeated_passages_go(spark):
     assert lines.dedup_lines(table.limit(0)).count() == 0
 
 
+def test_repeated_passages_go_between_any_neighbours(spark):
+    passages = {}
+    for n in (1, 2, 3, 4):
+        for p in range(5):
+            w = words(1000 + 10 * n + p, 56)
+            step = 56 // n
+            passages[n, p] = " ".join(" ".join(w[i : i + step]) + "." for i in range(0, 56, step))
+    texts, own = [], []
+    for (n, p), passage in passages.items():
+        for copy in range(4):
+            seed = 2000 + 100 * n + 20 * p + 2 * copy
+            own.append([f"{sentences(s, 26)}." for s in (seed, seed + 1)])
+            between = "\n" if copy % 2 else " "
+            texts.append(between.join([own[-1][0], passage, own[-1][1]]))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs(spark, *texts)).collect()}
+    for i, (before, after) in enumerate(own):
+        want = texts[i].split() if i % 4 == 0 else f"{before} {after}".split()
+        assert got[i].split() == want
+
+
+def test_repeated_passages_equal_all_runs(spark):
+    rng = random.Random(11)
+    pool = [" ".join(words(s, rng.randint(1, 24))) for s in range(14)]
+    taken = [[rng.choice(pool) for _ in range(rng.randint(1, 12))] for _ in range(60)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(
+        docs(spark, *["\n".join(t) for t in taken])).collect()}
+    seen = set()
+    for i, t in enumerate(taken):
+        runs = [(a, b) for a in range(len(t)) for b in range(a + 1, len(t) + 1)
+                if sum(len(x.split()) for x in t[a:b]) >= 20]
+        gone = {j for a, b in runs if tuple(t[a:b]) in seen for j in range(a, b)}
+        assert got[i].split() == [w for j, x in enumerate(t) if j not in gone for w in x.split()]
+        seen |= {tuple(t[a:b]) for a, b in runs}
+
+
 def test_archives_round_trip(spark):
     long = "x" * 1500
     pages = spark.createDataFrame(
