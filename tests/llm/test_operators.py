@@ -115,6 +115,18 @@ def test_repeated_passages_go_between_any_neighbours(spark):
         assert got[i].split() == want
 
 
+def test_repeated_passages_of_many_short_lines_go_whole(spark):
+    passages = ["\n".join(words(3000 + p, 70)) for p in range(12)]
+    own = [[sentences(3100 + 4 * p + i, 30) for i in range(4)] for p in range(12)]
+    table = docs(
+        spark, *[f"{o[0]}\n{p}\n{o[1]}" for p, o in zip(passages, own)],
+        *[f"{o[2]}\n{p}\n{o[3]}" for p, o in zip(passages, own)],
+    )
+    got = {r.doc_id: r.text for r in lines.dedup_lines(table).collect()}
+    assert [got[12 + i].split() for i in range(12)] == [f"{o[2]} {o[3]}".split() for o in own]
+    assert all(p in got[i] for i, p in enumerate(passages))
+
+
 def test_repeated_passages_equal_all_runs(spark):
     rng = random.Random(11)
     pool = [" ".join(words(s, rng.randint(1, 24))) for s in range(14)]
