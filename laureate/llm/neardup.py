@@ -4,8 +4,9 @@ Texts are sets of word shingles; equal sets form a class and count once. A tree
 branches classes by chosen minwise tokens: each node picks places of the signature
 by a hash of its path, on average one and a quarter, and classes with the same minwise
 token at a chosen place meet in a child. Pairs that are similar enough meet in
-small nodes with a fixed probability per tree, and independent trees raise that to
-the target recall. Every node is first compared with a few of its members. What is
+small nodes with a probability per tree that falls with the depth, and independent trees
+raise that to the target recall: the deeper nodes stay open, the more trees are grown
+for the classes in them. Every node is first compared with a few of its members. What is
 left to find in it are pairs from different components: if they are few for
 its size they are all compared, else the node branches again. Every link is confirmed
 on the full sets.
@@ -14,6 +15,7 @@ on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ OPEN_PAIRS = 32
 #: Levels that a large node goes down before it is looked at again.
 LEVELS = 3
 #: A link's share of equal minwise tokens may lie this far below the similarity.
-SLACK = 0.17
+SLACK = 0.25
+#: Probability that no tree brings a pair at the threshold together at some level.
+LOSS = 1e-4
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -358,7 +362,9 @@ def near_duplicates(
     gives no component its id; alone, its ``component_id`` is null and it is kept. Rows
     that share an id keep or lose their places together if their texts are linked.
     A pair at the threshold meets in a child of a tree's root with a probability of
-    ``1 - 1 / e``, which ``trees`` independent trees raise to all but certainty.
+    ``1 - 1 / e``, which ``trees`` independent trees raise to all but certainty. Classes in
+    nodes that are still open below get further trees, so that at no level such a pair
+    is lost with a probability over ``LOSS``.
     """
     texts = docs.select(column(docs, doc_id).alias("doc"), column(docs, text).alias("text"))
     signed = written(
@@ -383,17 +389,61 @@ def near_duplicates(
         if some:
             roots = F.array(*[F.xxhash64(F.lit("root"), F.lit(i)) for i in some])
             start = classes.select(F.explode(roots).alias("node"), "class")
-            _grow(join, _children(start, classes, share).distinct(), classes, share)
+            # What the first trees lose is left to the others.
+            further = some if some.stop == trees else None
+            _grow(join, _children(start, classes, share).distinct(), classes, share, further)
     return _result(signed, classes, join, docs, doc_id)
 
 
-def _grow(join: _Join, nodes: DataFrame, classes: DataFrame, share: float) -> None:
+def trees_for(level: int, share: float, percent: int) -> int:
+    """How many trees bring a pair at the threshold together in a node of a level, but
+    for a probability of ``LOSS``.
+
+    Equal places of its signatures are binomial; given these, a pair's common nodes are a
+    branching process.
+    """
+    same = np.arange(1, PLACES + 1)
+    s = percent / 100
+    weight = np.array([comb(PLACES, i) * s**i * (1 - s) ** (PLACES - i) for i in same.tolist()])
+    meets = np.ones(PLACES)
+    for _ in range(level):
+        meets = 1 - (1 - share * meets) ** same
+    few, many = 0, 1
+    while (weight * (1 - meets) ** many).sum() > LOSS:
+        few, many = many, 2 * many
+    while many - few > 1:
+        half = (few + many) // 2
+        lost = (weight * (1 - meets) ** half).sum() > LOSS
+        few, many = (half, many) if lost else (few, half)
+    return many
+
+
+def _rooted(some: DataFrame, trees: range, classes: DataFrame, share: float, level: int) -> DataFrame:
+    """(node, class) at a level of new trees over some classes."""
+    roots = F.array(*[F.xxhash64(F.lit("root"), F.lit(i)) for i in trees])
+    start = some.select(F.explode(roots).alias("node"), "class")
+    rows = written(_children(start, classes, share).distinct(), "further")
+    for _ in range(level // LEVELS):
+        shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = written(shared, "shared")
+        both = heavy_split(rows, shared, "node", "n", rows.count()).select("node", "class")
+        lower = written(_below(both, classes, share), "further")
+        forget(rows, shared)
+        rows = lower
+    return rows
+
+
+def _grow(
+    join: _Join, nodes: DataFrame, classes: DataFrame, share: float, trees: range | None = None
+) -> None:
     """Compare within nodes, given as (node, class), and below them until none is open.
 
+    ``trees`` are the numbers of the trees that the nodes are from. If given, classes in open
+    nodes get as many further trees as the level below needs.
     Components are worked out once a level. What is not known of them in between only costs
     some pairs more.
     """
-    below = written(nodes, "members")
+    below, level = written(nodes, "members"), 1
     while below is not None:
         members = _with_leaders(below)
         forget(below)
@@ -411,8 +461,20 @@ def _grow(join: _Join, nodes: DataFrame, classes: DataFrame, share: float) -> No
             .filter("a < b AND component <> other").select("a", "b")
         )
         large = several.filter("NOT is_small").select("node", "class")
-        none = large.isEmpty()
-        below = None if none else written(_below(large, classes, share), "members")
+        if large.isEmpty():
+            below = None
+        else:
+            level += LEVELS
+            lower = [_below(large, classes, share)]
+            if trees is not None:
+                stop = max(trees.stop, trees.start + trees_for(level, share, join.percent))
+                more, trees = range(trees.stop, stop), range(trees.start, stop)
+                if more:
+                    some = large.select("class").distinct()
+                    lower.append(_rooted(some, more, classes, share, level))
+            below = lower[0] if len(lower) == 1 else lower[0].unionByName(lower[1])
+            below = written(below, "members")
+            forget(*lower)
         forget(members, several)
     join.relabel()
 

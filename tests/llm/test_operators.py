@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from laureate.llm import language, lines, packing, privacy, quality, warc
+from laureate.llm import language, lines, neardup, packing, privacy, quality, warc
 from laureate.llm.common import new_folder
 from laureate.llm.decontaminate import contamination
 from laureate.llm.neardup import near_duplicates, near_representatives
@@ -201,6 +201,20 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in want if want[i] == i)
 
 
+def test_trees_bring_pairs_together_at_depth(spark):
+    rng = np.random.default_rng(8)
+    left = rng.integers(0, 1 << 30, (400, 64))
+    right = np.where(rng.random((400, 64)) < 0.8, left, left + 1)
+    rows = [(i, x.tolist()) for i, x in enumerate(np.stack([left, right], 1).reshape(800, 64))]
+    classes = spark.createDataFrame(rows, "class bigint, tokens array<int>").cache()
+    share = 100 / 80 / 64
+    for level in (4, 7):
+        trees = range(neardup.FIRST_TREES, neardup.FIRST_TREES + neardup.trees_for(level, share, 80))
+        nodes = neardup._rooted(classes.select("class"), trees, classes, share, level)
+        met = nodes.groupBy("node", F.expr("class div 2 AS pair")).count().filter("count > 1")
+        assert met.select("pair").distinct().count() == 400
+
+
 def test_top_k_equals_all_pairs(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(90)]
