@@ -87,8 +87,8 @@ def _signatures(k: int):
                     tokens.append(None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(tokens, pa.list_(pa.int32()))],
-                ["doc", "size", "digest", "tokens"],
+                 pa.array(tokens, pa.list_(pa.int32())), part.column(2)],
+                ["doc", "size", "digest", "tokens", "source"],
             )
 
     return run
@@ -213,14 +213,15 @@ class _Join:
         asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             asked = asked.join(self.sets.select("class"), "class", "left_anti")
-        asked = written(asked.join(self.classes.select("class", "doc"), "class"), "asked")
+        asked = written(asked.join(self.classes.select("class", "source"), "class"), "asked")
         if asked.isEmpty():
             forget(asked)
             return
-        mask = bit_filter(asked.select(F.xxhash64("doc").alias("h")), "h")
-        texts = filtered(self.docs.withColumn("h", F.xxhash64("doc")), "h", mask)
+        mask = bit_filter(asked.select(F.xxhash64("source").alias("h")), "h")
+        texts = self.docs.select("text", "source", F.xxhash64("source").alias("h"))
+        texts = filtered(texts, "h", mask).dropDuplicates(["source"])
         own = (
-            texts.join(asked, "doc").select("class", "text")
+            texts.join(asked, "source").select("class", "text")
             .mapInArrow(_sets(self.k), "class bigint, items binary")
         )
         self.sets = _more(self.sets, own, "sets")
@@ -366,12 +367,17 @@ def near_duplicates(
     nodes that are still open below get further trees, so that at no level such a pair
     is lost with a probability over ``LOSS``.
     """
-    texts = docs.select(column(docs, doc_id).alias("doc"), column(docs, text).alias("text"))
+    # A text is found again by its digest, as ids may be missing or repeat.
+    value = column(docs, text).cast("string")
+    texts = docs.select(
+        column(docs, doc_id).alias("doc"), value.alias("text"),
+        F.unhex(F.sha2(value.cast("binary"), 256)).alias("source"),
+    )
     signed = written(
         texts.mapInArrow(
             _signatures(k),
             schema(doc=texts.schema["doc"].dataType, size="bigint", digest="binary",
-                   tokens="array<int>"),
+                   tokens="array<int>", source="binary"),
         ),
         "signatures",
     )
@@ -379,7 +385,8 @@ def near_duplicates(
     classes = written(
         signed.filter("size > 0").groupBy("digest")
         .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"),
-             F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+             F.first("size").alias("size"), F.first("tokens").alias("tokens"),
+             F.first("source").alias("source"))
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )

@@ -201,6 +201,18 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in want if want[i] == i)
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    texts = [words(4000 + i, 120) for i in range(3)]
+    near = lambda i, n: " ".join(texts[i][:-1] + [f"end{n}"])
+    rows = [(None, near(0, 1)), (None, near(0, 2)), (5, near(0, 3)), (None, near(0, 1)),
+            (7, near(1, 1)), (7, near(2, 1)), (2, near(1, 2)), (3, near(2, 2))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_duplicates(table, k=4).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [
+        (0, 5), (0, 5), (0, 5), (2, 2), (3, 3), (5, 5), (7, 2), (7, 3),
+    ]
+
+
 def test_trees_bring_pairs_together_at_depth(spark):
     rng = np.random.default_rng(8)
     left = rng.integers(0, 1 << 30, (400, 64))
