@@ -115,6 +115,8 @@ _NEAR = pa.struct([
     ("start", pa.int32()), ("end", pa.int32()),
 ])
 
+_MARK = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
 
 def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
@@ -125,7 +127,7 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     numbers = row_numbers()
     for part in parts:
-        rows, spans, nears = [], [], []
+        rows, nears = [], []
         for text in part.column(0).to_pylist():
             text = text or ""
             found = find(text)
@@ -143,12 +145,9 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         for w, x, y in words
                     ]
             rows.append(next(numbers))
-            spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
             nears.append(near)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), part.column(1), pa.array(spans, pa.list_(_SPAN)),
-             pa.array(nears, pa.list_(_NEAR))],
-            ["row", "document", "spans", "near"],
+            [pa.array(rows, pa.int64()), pa.array(nears, pa.list_(_NEAR))], ["row", "near"]
         )
 
 
@@ -198,6 +197,59 @@ def _holding(mask: np.ndarray):
     return run
 
 
+def _marked(mask: np.ndarray):
+    """Each text with its spans, and its words outside them that may be in the filter."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = row_numbers()
+        for part in parts:
+            texts = [t or "" for t in part.column(0).to_pylist()]
+            rows, spans, marks = [], [], []
+            for group in grouped([plain_bytes(t, _LETTERS) for t in texts]):
+                words = Words(group)
+                hit = np.flatnonzero(in_filter(mask, words.hashes))
+                base = 0
+                for i, data in enumerate(group):
+                    text = texts[len(rows)]
+                    a, b = np.searchsorted(hit, words.first[i : i + 2])
+                    found = find(text)
+                    marks.append(_places(
+                        text, data, words.starts[hit[a:b]] - base, words.ends[hit[a:b]] - base, found
+                    ))
+                    spans.append([{"kind": k, "start": x, "end": y} for k, x, y in found])
+                    rows.append(next(numbers))
+                    base += len(data) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), part.column(1), pa.array(spans, pa.list_(_SPAN)),
+                 pa.array(marks, pa.list_(_MARK))],
+                ["row", "document", "spans", "marks"],
+            )
+
+    return run
+
+
+def _places(
+    text: str, data: bytes, starts: np.ndarray, ends: np.ndarray, found: list[tuple[str, int, int]]
+) -> list[dict]:
+    """Words at places in ``data`` with their places in the text, but those in ``found``."""
+    if not len(starts):
+        return []
+    taken = np.zeros(len(text), dtype=bool)
+    for _, a, b in found:
+        taken[a:b] = True
+    first, stop = starts, ends
+    if not text.isascii():
+        # Code points before each byte.
+        begins = (np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80
+        points = np.concatenate([[0], np.cumsum(begins)])
+        first, stop = points[starts], points[ends]
+    return [
+        {"term": data[x:y].decode("utf-8", "surrogatepass"), "start": a, "end": b}
+        for x, y, a, b in zip(starts.tolist(), ends.tolist(), first.tolist(), stop.tolist())
+        if not taken[a:b].any()
+    ]
+
+
 def _with_hash(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         terms = part.column(0).to_pylist()
@@ -269,7 +321,8 @@ def personal_data(
     """Per row: its columns, ``spans`` (kind, start, end) and ``terms`` (likewise).
 
     Spans are found in the whole text, in code points, the end exclusive, ordered by kind
-    and start. ``terms`` are words near an entity that disclose it, of kind "term". ``keep``
+    and start. ``terms`` are all occurrences, in any text, of words that disclose an entity,
+    of kind "term"; what a word discloses is learned near entities. ``keep``
     lists the columns to return, by default all; ``spans`` and ``terms`` replace columns
     of these names. A null or empty text has no spans. Rows that repeat are judged each by
     itself but give no more evidence than one.
@@ -280,27 +333,33 @@ def personal_data(
         F.struct(*[column(docs, c) for c in kept]).alias("document"),
     )
     scanned = written(
+        source.select("text").mapInArrow(_scan, schema(row="bigint", near=_TERM_DDL)), "scanned"
+    )
+    found = written(disclosing(docs, scanned, text, share, least), "disclosing")
+    words = written(
+        found.select("term").distinct().mapInArrow(_with_hash, "term string, hash bigint"), "words"
+    )
+    marked = written(
         source.mapInArrow(
-            _scan,
+            _marked(bit_filter(words, "hash")),
             schema(row="bigint", document=source.schema["document"].dataType,
-                   spans="array<struct<kind: string, start: int, end: int>>", near=_TERM_DDL),
+                   spans="array<struct<kind: string, start: int, end: int>>",
+                   marks="array<struct<term: string, start: int, end: int>>"),
         ),
-        "scanned",
-    )
-    found = written(disclosing(docs, scanned, text, share, least), "disclosing")
-    near = scanned.select("row", F.explode("near").alias("x")).select(
-        "row", F.struct("x.entity", "x.term").alias("pair"), "x.start", "x.end"
+        "marked",
     )
-    keyed = found.select(F.struct("entity", "term").alias("pair"), "together")
+    places = marked.select("row", F.explode("marks").alias("x")).select("row", "x.*")
+    counts = places.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(words, "term")
+    counts = written(counts.select("term", "n"), "term-places")
     terms = (
-        heavy_split(near, keyed, "pair", "together", near.count())
+        heavy_split(places, counts, "term", "n", places.count())
         .groupBy("row")
         .agg(F.array_sort(F.collect_set(
             F.struct(F.lit("term").alias("kind"), "start", "end")
         )).alias("terms"))
     )
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
-    return scanned.join(terms, "row", "left").select(
+    return marked.join(terms, "row", "left").select(
         *[F.col("document").getField(c).alias(c) for c in kept],
         "spans",
         F.coalesce("terms", none).alias("terms"),

@@ -333,6 +333,19 @@ def test_personal_data_and_terms(spark):
     assert out[0] == "Mail [NAME] at [EMAIL] today" and out[4] is None and out[7] == texts[7]
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    far = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [
+        "Mail Zorblat at z@x.org today", "we saw zorblat again, write z@x.org now please",
+        f"the chief ZORBLAT has z@x.org indeed {far} Zorblat", f"\u00fc \u4e2d, {far} zorblat.",
+    ] + ["the chief said today now please"] * 2000
+    found = privacy.personal_data(docs(spark, *texts))
+    got = {r.doc_id: r for r in found.filter("doc_id < 5").collect()}
+    assert [[texts[i][t["start"] : t["end"]] for t in got[i].terms] for i in range(5)] == [
+        ["Zorblat"], ["zorblat"], ["ZORBLAT", "Zorblat"], ["zorblat"], [],
+    ]
+
+
 def test_quality_on_held_out_texts(spark):
     good = [sentences(i, 80) for i in range(120)]
     bad = [" ".join(w.upper() + "!!%" for w in words(500 + i, 80)) for i in range(120)]
