@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,17 @@ def written_once(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{label}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As ``written_once``, but always written, for results a second run would change.
+
+    A local session without a shared folder gets a temporary one; any other master
+    has to name one.
+    """
+    context = df.sparkSession.sparkContext
+    if not shared_folder(df.sparkSession):
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return written_once(df, label)
