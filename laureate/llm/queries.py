@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from laureate.llm import rotation
+from laureate.llm.bestfit import op11_best_fit
 from laureate.llm.decontaminate import op7_prefix_filtered_join
 from laureate.llm.language import op1_hidden_markov
 from laureate.llm.lines import op2_line_dedup
@@ -9,6 +11,7 @@ from laureate.llm.neardup import op4_chosen_path
 from laureate.llm.packing import op8_optimal_buckets
 from laureate.llm.privacy import op9_disclosure
 from laureate.llm.quality import op10_compression_quality
+from laureate.llm.rotation import op12_block_rotation
 from laureate.llm.sharding import op6_histogram_sort
 from laureate.llm.topk import op5_block_pruning
 from laureate.llm.warc import op3_warc_ranges
@@ -24,6 +27,8 @@ QUERIES = {q.__name__: q for q in (
     op8_optimal_buckets,
     op9_disclosure,
     op10_compression_quality,
+    op11_best_fit,
+    op12_block_rotation,
 )}
 
 ORACLE: dict[str, str] = {
@@ -53,4 +58,5 @@ ORACLE: dict[str, str] = {
             CASE WHEN page_id < kept THEN kept END AS refers_to
         FROM bodies LEFT JOIN kept USING (body)
     """,
+    "op12_block_rotation": rotation.SQL,
 }
