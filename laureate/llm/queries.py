@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from laureate.llm import rotation
+from laureate.llm import conversations, rotation
 from laureate.llm.bestfit import op11_best_fit
+from laureate.llm.conversations import op13_zfast_trie
 from laureate.llm.decontaminate import op7_prefix_filtered_join
 from laureate.llm.language import op1_hidden_markov
 from laureate.llm.lines import op2_line_dedup
@@ -29,6 +30,7 @@ QUERIES = {q.__name__: q for q in (
     op10_compression_quality,
     op11_best_fit,
     op12_block_rotation,
+    op13_zfast_trie,
 )}
 
 ORACLE: dict[str, str] = {
@@ -59,4 +61,5 @@ ORACLE: dict[str, str] = {
         FROM bodies LEFT JOIN kept USING (body)
     """,
     "op12_block_rotation": rotation.SQL,
+    "op13_zfast_trie": conversations.SQL,
 }
