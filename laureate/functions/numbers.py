@@ -10,8 +10,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Places kept of each value that a mean adds up.
+MEAN_SCALE = 6
+
+
 def mean(value: Column, places: int = 2) -> Column:
-    return F.round(F.avg(value), places)
+    """The mean, rounded half away from zero, as a double.
+
+    Values are added up as decimals of ``MEAN_SCALE`` places, and the sum is divided
+    and rounded in whole numbers. So the mean, halfway ones too, does not depend on
+    the order or the partitions in which the values arrive, as a sum of doubles does.
+    """
+    unit, kept = 10**MEAN_SCALE, 10**places
+    whole = "decimal(38,0)"
+    total = (F.sum(value.cast(f"decimal(24,{MEAN_SCALE})")) * F.lit(unit)).cast(whole)
+    count = F.nullif(F.count(value), F.lit(0)).cast(whole)
+    twice = (F.abs(total) * F.lit(2 * kept)).cast(whole) + (count * F.lit(unit)).cast(whole)
+    rounded = F.call_function(
+        "div", twice.cast(whole), (count * F.lit(2 * unit)).cast(whole)
+    )
+    return F.signum(total) * rounded.cast("double") / F.lit(float(kept))
 
 
 def pct_at_least(
