@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laureate.operators.reuse import written_once
 
-# A key left out of the broadcast side holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 1024
-
-
-def _equal(keys: Sequence[str], prefix: str) -> Column:
-    return reduce(and_, [F.col(k) == F.col(prefix + k) for k in keys])
+#: A slot holds about this part of a shuffle partition's fair share of the rows.
+SLOTS_PER_PARTITION = 16
 
 
 def left_lookup(
@@ -25,16 +19,17 @@ def left_lookup(
     keys: Sequence[str],
     spread_by: str,
     weight: str | None = None,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Add the lookup's columns to ``left``; as in SQL, a NULL key matches nothing.
 
     ``weight`` names the lookup column that tells how many left rows have the
     key (the lookup then has one row per key); without it the left side is
-    counted first. The heaviest ``hot_keys`` keys are joined by broadcasting
-    their lookup rows, a number fixed in advance. Their left rows, and those with
-    a NULL key, then pass the second join hashed on ``spread_by`` instead of the
-    key, so no task receives a whole hot key. All other keys are joined there.
+    counted first. A key with more rows than a slot should hold gets slots in
+    proportion: its lookup rows are repeated for each, and its left rows choose one by
+    a hash of ``spread_by``. Fewer than ``SLOTS_PER_PARTITION`` keys for each shuffle
+    partition can be so heavy, whatever the data; they are told to the left side by
+    broadcast. Rows with a NULL key choose among all hashes. All rows then pass one
+    join on key and slot, in which no task gets much more than its share.
 
     The lookup is read twice; where the cluster has a shared folder it is worked
     out once and, being a table of known size then, broadcast when small enough.
@@ -43,39 +38,39 @@ def left_lookup(
     lookup = written_once(lookup, "lookup")
     values = [c for c in lookup.columns if c not in keys and c != weight]
     if weight is None:
-        heaviest = (
-            left.dropna(subset=keys)
-            .groupBy(*keys)
-            .agg(F.count("*").alias("_rows"))
-            .orderBy(F.desc("_rows"))
-            .limit(hot_keys)
-            .select(*[F.col(k).alias(f"_top_{k}") for k in keys])
+        counts = written_once(
+            left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows")), "key-counts"
         )
-        hot = lookup.join(F.broadcast(heaviest), _equal(keys, "_top_"), "left_semi")
     else:
-        hot = lookup.orderBy(F.desc(weight)).limit(hot_keys)
-
-    def side(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(
-            *[F.col(k).alias(prefix + k) for k in keys], F.struct(*values).alias(prefix)
-        )
+        counts = lookup.select(*keys, F.col(weight).alias("_rows"))
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = parts * SLOTS_PER_PARTITION
+    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
+    # The rows of a slot are at least the total over the slots.
+    share = (F.col("_rows") * slots / total).cast("int")
+    heavy = counts.select(*keys, (share + 1).alias("_slots")).filter(F.col("_slots") > 1)
 
-    warm = left.join(F.broadcast(side(hot, "_hot_")), _equal(keys, "_hot_"), "left")
-    settled = F.col("_hot_").isNotNull() | reduce(or_, [F.col(k).isNull() for k in keys])
-    warm = warm.withColumn(
-        "_slot", F.when(settled, F.xxhash64(spread_by)).otherwise(F.xxhash64(*keys))
-    )
-    cold = side(lookup, "_cold_").withColumn(
-        "_cold_slot", F.xxhash64(*[f"_cold_{k}" for k in keys])
+    told = left.join(F.broadcast(heavy), keys, "left")
+    spread = F.xxhash64(spread_by)
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col(k).isNull()
+    told = told.withColumn(
+        "_slot",
+        F.when(no_key, spread)
+        .when(F.col("_slots").isNull(), F.lit(0).cast("long"))
+        .otherwise(F.pmod(spread, F.col("_slots"))),
     )
-    joined = warm.join(
-        cold,
-        (F.col("_slot") == F.col("_cold_slot"))
-        & F.col("_hot_").isNull()
-        & _equal(keys, "_cold_"),
-        "left",
+    repeated = (
+        lookup.join(F.broadcast(heavy), keys, "left")
+        .withColumn(
+            "_slot",
+            F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_slots", F.lit(1)) - 1)),
+        )
+        .select(*keys, "_slot", F.struct(*values).alias("_found"))
     )
+    joined = told.join(repeated, [*keys, "_slot"], "left")
     return joined.select(
         *[F.col(c) for c in left.columns],
-        *[F.coalesce(F.col(f"_hot_.{v}"), F.col(f"_cold_.{v}")).alias(v) for v in values],
+        *[F.col(f"_found.{v}").alias(v) for v in values],
     )

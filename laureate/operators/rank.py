@@ -11,29 +11,26 @@ from pyspark.sql import functions as F
 from laureate.fixed import TOP_LABEL_SEPARATOR
 from laureate.operators.dedup import keep_first
 from laureate.operators.lookup import left_lookup
+from laureate.operators.order import in_order
 
 
 @dataclass(frozen=True)
 class Contest:
     """A dense rank to compute: who takes part, in which groups, by what.
 
-    ``order`` lists non-NULL numeric columns, compared from high to low, in
-    levels: a level is a column name or a tuple of them. Rows with a NULL in a
-    ``within`` column do not take part. Groups with fewer than ``min_size``
+    ``order`` lists non-NULL numeric columns, compared from high to low. Rows with a
+    NULL in a ``within`` column do not take part. Groups with fewer than ``min_size``
     participants are not ranked. ``size`` names an extra output column with the
     number of participants.
     """
 
     rank: str
     within: tuple[str, ...]
-    order: tuple[str | tuple[str, ...], ...]
+    order: tuple[str, ...]
     takes_part: Column | None = None
     min_size: int = 1
     size: str | None = None
 
-    def levels(self) -> list[tuple[str, ...]]:
-        return [(level,) if isinstance(level, str) else tuple(level) for level in self.order]
-
 
 ROWS = "_rows"
 
@@ -54,16 +51,16 @@ def score_profile(df: DataFrame, contests: Sequence[Contest]) -> DataFrame:
 def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame:
     """The profile's rows that take part in a contest, with their ranks.
 
-    A window over a whole group would sort all its rows in one task. Here each
-    window orders the distinct values of one level among rows equal in all levels
-    before it, and the places above are added up level by level. Choose the levels
-    so that none is long: a column with many values should follow a coarse
-    version of itself in the level before.
+    A window over a whole group would sort all its rows in one task. Here the distinct
+    places of all contests and groups are sorted together over range partitions, which
+    cut large groups wherever rows are even, and numbered in each partition. A place is
+    its number there plus the places of its group in the partitions before: one number
+    for each partition and group.
     """
     keys = _profile_keys(contests)
     groups = _group_columns(contests)
     g = [f"_g{i}" for i in range(len(groups))]
-    levels, places = _common_levels(profile, contests)
+    order, places = _common_order(profile, contests)
 
     def entry(i: int, contest: Contest) -> Column:
         own_groups = [F.col(_group(c)) if c in contest.within else F.lit("") for c in groups]
@@ -79,90 +76,71 @@ def ranked_profile(profile: DataFrame, contests: Sequence[Contest]) -> DataFrame
         profile.select(*keys, ROWS, F.explode(F.array(*entries)).alias("_e"))
         .select(*keys, ROWS, "_e.*")
         .filter("_in")
+        .drop("_in")
     )
-    group = ["_contest", *g]
-    step = group + _flat(levels[:-1])
-    local = rows.withColumn(
-        "_local",
-        F.dense_rank().over(Window.partitionBy(*step).orderBy(*_descending(levels[-1]))),
+    place = ["_contest", *g, *order]
+    distinct = rows.groupBy(*place).agg(
+        F.sum(ROWS).alias("_members"), F.count("*").alias("_entries")
     )
-    sizes = local.groupBy(*step).agg(
-        F.max("_local").alias("_places"), F.sum(ROWS).alias("_members")
+    ranked = _dense(distinct, ["_contest", *g], order)
+    found = left_lookup(
+        rows.withColumn("_spread", F.xxhash64(*keys)),
+        ranked.select(*place, "_entries", "_place", "_group_members"),
+        place, "_spread", weight="_entries",
     )
-    # Every row has its step. A left join adds no NULL filter to one of the uses
-    # of ``local``, so Spark shuffles it once for all.
-    placed = local.join(_places_above(sizes, group, levels[:-1]), step, "left")
-
     columns = []
     for i, contest in enumerate(contests):
         mine = (F.col("_contest") == i) & (F.col("_group_members") >= contest.min_size)
-        columns.append(
-            F.max(F.when(mine, F.col("_above") + F.col("_local"))).alias(contest.rank)
-        )
+        columns.append(F.max(F.when(mine, F.col("_place"))).alias(contest.rank))
         if contest.size:
             columns.append(F.max(F.when(mine, F.col("_group_members"))).alias(contest.size))
-    return placed.groupBy(*keys).agg(F.max(ROWS).alias(ROWS), *columns)
+    return found.groupBy(*keys).agg(F.max(ROWS).alias(ROWS), *columns)
 
 
-def _places_above(
-    sizes: DataFrame, group: list[str], levels: list[list[str]]
-) -> DataFrame:
-    """Per group and step: the places above it in the group, and the group's size."""
-    if not levels:
-        return sizes.select(
-            *group, F.lit(0).alias("_above"), F.col("_members").alias("_group_members")
-        )
-    outer = group + _flat(levels[:-1])
-    whole = Window.partitionBy(*outer)
-    ahead = whole.orderBy(*_descending(levels[-1])).rowsBetween(Window.unboundedPreceding, -1)
-    here = sizes.select(
-        *outer, *levels[-1],
-        F.coalesce(F.sum("_places").over(ahead), F.lit(0)).alias("_above"),
-        F.sum("_members").over(whole).alias("_group_members"),
+def _dense(places: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Number the rows of each group from 1, high to low, in ``_place``.
+
+    Rows are distinct in group and order. ``_group_members`` adds up the ``_members``
+    of the group.
+    """
+    sorted_ = in_order(places, [*[F.col(c) for c in group], *_descending(order)])
+    stretches = sorted_.groupBy("_part", *group).agg(
+        F.min("_row").alias("_first"), F.count("*").alias("_n"),
+        F.sum("_members").alias("_sum"),
     )
-    if len(levels) == 1:
-        return here
-    totals = sizes.groupBy(*outer).agg(
-        F.sum("_places").alias("_places"), F.sum("_members").alias("_members")
+    # At most one row of a group for each partition.
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stretches.select(
+        "_part", *group, "_n",
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        F.sum("_sum").over(whole).alias("_group_members"),
     )
-    higher = _places_above(totals, group, levels[:-1]).withColumnRenamed("_above", "_higher")
     return (
-        here.drop("_group_members")
-        .join(higher, outer, "left")
-        .withColumn("_above", F.col("_above") + F.col("_higher"))
-        .drop("_higher")
+        left_lookup(sorted_, offsets, ["_part", *group], "_row", weight="_n")
+        .withColumn("_place", F.col("_row") + F.col("_shift"))
+        .drop("_part", "_row", "_shift")
     )
 
 
-def _common_levels(
+def _common_order(
     profile: DataFrame, contests: Sequence[Contest]
-) -> tuple[list[list[str]], list[dict[str, Column]]]:
-    """Level columns shared by all contests, and each contest's values for them.
+) -> tuple[list[str], list[dict[str, Column]]]:
+    """Order columns shared by all contests, and each contest's values for them.
 
-    A contest with fewer levels or columns has 0 there. Values keep the type of
-    the first contest that has the column.
+    A contest with fewer columns has 0 there. Values keep the type of the first
+    contest that has the column.
     """
-    own = [c.levels() for c in contests]
-    depth = max(len(levels) for levels in own)
     names, values = [], [{} for _ in contests]
-    for j in range(depth):
-        width = max(len(levels[j]) if j < len(levels) else 0 for levels in own)
-        names.append([f"_o{j}_{k}" for k in range(width)])
-        for k, name in enumerate(names[-1]):
-            sources = [
-                levels[j][k] if j < len(levels) and k < len(levels[j]) else None
-                for levels in own
-            ]
-            kind = next(profile.schema[c].dataType for c in sources if c)
-            for place, source in zip(values, sources):
-                place[name] = (F.col(source) if source else F.lit(0)).cast(kind)
+    for j in range(max(len(c.order) for c in contests)):
+        names.append(f"_o{j}")
+        sources = [c.order[j] if j < len(c.order) else None for c in contests]
+        kind = next(profile.schema[c].dataType for c in sources if c)
+        for place, source in zip(values, sources):
+            place[names[-1]] = (F.col(source) if source else F.lit(0)).cast(kind)
     return names, values
 
 
-def _flat(levels: Sequence[Sequence[str]]) -> list[str]:
-    return [c for level in levels for c in level]
-
-
 def _descending(columns: Sequence[str]) -> list[Column]:
     return [F.desc(c) for c in columns]
 
@@ -210,7 +188,7 @@ def _with_keys(df: DataFrame, contests: Sequence[Contest]) -> DataFrame:
 
 
 def _profile_keys(contests: Sequence[Contest]) -> list[str]:
-    order = list(dict.fromkeys(c for contest in contests for c in _flat(contest.levels())))
+    order = list(dict.fromkeys(c for contest in contests for c in contest.order))
     groups = [_group(c) for c in _group_columns(contests)]
     return [*groups, *order, *[_part(i) for i in range(len(contests))]]
 

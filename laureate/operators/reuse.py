@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -13,6 +15,30 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The shared folder, or for a local session without one a temporary folder.
+
+    A temporary folder goes when the Python process ends. Any other master has to name
+    a folder that all its machines share.
+    """
+    folder = shared_folder(spark)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="laureate-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
+    return folder
+
+
+def _through(df: DataFrame, folder: str, label: str) -> DataFrame:
+    path = f"{folder.rstrip('/')}/{label}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written_once(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
@@ -22,22 +48,9 @@ def written_once(df: DataFrame, label: str) -> DataFrame:
     until removed from the folder.
     """
     folder = shared_folder(df.sparkSession)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/{label}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _through(df, folder, label) if folder else df
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """As ``written_once``, but always written, for results a second run would change.
-
-    A local session without a shared folder gets a temporary one; any other master
-    has to name one.
-    """
-    context = df.sparkSession.sparkContext
-    if not shared_folder(df.sparkSession):
-        if context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return written_once(df, label)
+    """As ``written_once``, but always written, for results that a second run would change."""
+    return _through(df, work_folder(df.sparkSession), label)

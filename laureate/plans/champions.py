@@ -13,28 +13,18 @@ from laureate.operators.reuse import written_once
 from laureate.plans.base import DEFAULT_OPTIONS, Inputs, Options, games
 from laureate.schemas import CHAMPION_COLUMNS
 
-REVIEW_BLOCK = 10_000
-
 
 def with_rank_keys(df: DataFrame) -> DataFrame:
-    """Sort keys with missing values as 0, and coarse versions of the long ones.
-
-    User scores get whole points and review counts blocks of ``REVIEW_BLOCK``, which
-    keeps the levels below short whatever the number of titles.
-    """
-    user = F.coalesce("user_score", F.lit(0.0))
-    reviews = F.coalesce("reviews_total", F.lit(0))
+    """Sort keys with missing values as 0."""
     return df.withColumns(
         {
-            "_user_point": F.floor(user),
-            "_user": user,
-            "_review_block": F.floor(reviews / REVIEW_BLOCK),
-            "_reviews": reviews,
+            "_user": F.coalesce("user_score", F.lit(0.0)),
+            "_reviews": F.coalesce("reviews_total", F.lit(0)),
         }
     )
 
 
-BY_SCORE = (("critic_score", "_user_point"), ("_user", "_review_block"), "_reviews")
+BY_SCORE = ("critic_score", "_user", "_reviews")
 
 
 def era_contest() -> Contest:
@@ -56,7 +46,7 @@ def flagged_contest(gates: Gates = DEFAULT_GATES) -> Contest:
     return Contest(
         "vr_era_rank",
         ("era_label",),
-        (("critic_score", "_user_point"), "_user"),
+        ("critic_score", "_user"),
         takes_part=(F.col("critic_score") >= gates.champion_score) & F.col("is_vr"),
     )
 
