@@ -227,12 +227,23 @@ class Tokens:
         self.bytes = np.zeros(max(pieces.values()) + 1, dtype=np.int64)
         for text, i in pieces.items():
             self.bytes[i] = len(text)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.empty(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks used most, of those used again at all, up to half of the bound."""
+        least = 2
+        if len(self.used) > _REMEMBERED // 2:
+            least = max(least, int(np.partition(self.used, -(_REMEMBERED // 2))[-(_REMEMBERED // 2)]) + 1)
+        kept = np.flatnonzero(self.used >= least)
+        names = list(self.known)
+        ids = [self.ids[self.starts[i] : self.starts[i + 1]] for i in kept]
+        self.known = {names[i]: n for n, i in enumerate(kept)}
+        self.ids = np.concatenate([*ids, np.empty(0, dtype=np.int32)])
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        self.used = self.used[kept] // 2
 
     def _plain(self, text: str) -> np.ndarray:
         found = self.model.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -251,6 +262,7 @@ class Tokens:
             self.known[chunk] = len(self.known)
         self.ids = np.concatenate([self.ids, ids, *apart])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.used = np.concatenate([self.used, np.zeros(len(chunks), dtype=np.int64)])
 
     def _together(self, stretches: list[str]) -> list[np.ndarray]:
         """The ids of some stretches of texts."""
@@ -265,6 +277,7 @@ class Tokens:
             new = [chunks[i] for i in unknown]
             self._learn(list(dict.fromkeys(new)))
             each[unknown] = [self.known[c] for c in new]
+        self.used += np.bincount(each, minlength=len(self.used))
         starts = self.starts[each]
         many = self.starts[each + 1] - starts
         ends = np.concatenate([[0], np.cumsum(many)])

@@ -129,6 +129,17 @@ def test_long_texts_go_in_stretches(monkeypatch):
         assert list(ids) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_common_chunks_are_remembered(monkeypatch):
+    monkeypatch.setattr(bestfit, "_REMEMBERED", 40)
+    plain, tokens = Tokenizer.from_file(TOKENIZER), bestfit.Tokens(TOKENIZER)
+    rng = random.Random(8)
+    for i in range(60):
+        text = " ".join(["often", "again", *(f"rare{rng.randint(0, 10**6)}" for _ in range(5))] * 2)
+        ids = next(tokens.of([text]))
+        assert list(ids) == plain.encode(text, add_special_tokens=False).ids
+        assert len(tokens.known) <= 60 and " again" in tokens.known
+
+
 def test_cuts():
     assert bestfit.cuts(1, 8) == [0] and bestfit.cuts(8, 8) == [0]
     assert bestfit.cuts(9, 8) == [0, 1] and bestfit.cuts(16, 8) == [0, 8]
