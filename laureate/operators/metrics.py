@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laureate.fixed import DEFAULT_GATES, Gates
+from laureate.fixed import DEFAULT_GATES, NO_ERA, Gates
 from laureate.functions.labels import era_label, era_order
 from laureate.functions.numbers import mean, pct_at_least, score_gap
+from laureate.operators.intervals import interval_lookup
 from laureate.operators.lookup import left_lookup
 
 
@@ -18,12 +19,27 @@ def min_size(df: DataFrame, size: str, at_least: int) -> DataFrame:
     return df.filter(F.col(size) >= at_least)
 
 
+def group_sizes(df: DataFrame, within: Sequence[str], name: str) -> DataFrame:
+    """The size of every group; rows with a NULL in a group column form groups as well."""
+    return df.groupBy(*within).agg(F.count("*").alias(name))
+
+
 def with_group_size(
-    df: DataFrame, within: Sequence[str], name: str, spread_by: str
+    df: DataFrame, within: Sequence[str], name: str, spread_by: str, null_safe: bool = False
 ) -> DataFrame:
-    """Add the size of each row's group; NULL where a group column is NULL."""
-    sizes = df.groupBy(*within).agg(F.count("*").alias(name), F.count("*").alias("_rows"))
-    return left_lookup(df, sizes, within, spread_by, weight="_rows")
+    """Add the size of each row's group.
+
+    As by a join, the size is NULL where a group column is NULL. ``null_safe`` takes
+    NULLs as equal instead, as GROUP BY and windows do.
+    """
+    if not null_safe:
+        sizes = group_sizes(df, within, name).withColumn("_rows", F.col(name))
+        return left_lookup(df, sizes, within, spread_by, weight="_rows")
+    # A key that is never NULL: the column as JSON, without a value where it is NULL.
+    safe = {f"_key_{c}": F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in within}
+    sizes = group_sizes(df.withColumns(safe), list(safe), name).withColumn("_rows", F.col(name))
+    found = left_lookup(df.withColumns(safe), sizes, list(safe), spread_by, weight="_rows")
+    return found.drop(*safe)
 
 
 def year_profile(
@@ -77,7 +93,8 @@ def era_stats(games: DataFrame) -> DataFrame:
 
 
 def genre_year(
-    games: DataFrame, genre: str = "genre", gates: Gates = DEFAULT_GATES
+    games: DataFrame, genre: str = "genre", gates: Gates = DEFAULT_GATES,
+    eras: DataFrame | None = None,
 ) -> DataFrame:
     """Figures of each category and year with enough games."""
     score, user = F.col("critic_score"), F.col("user_score")
@@ -95,9 +112,9 @@ def genre_year(
             mean(F.col("owners_midpoint"), 0).alias("avg_owners_midpoint"),
             mean(score_gap(score, user, "zero")).alias("avg_nostalgia_delta"),
         )
-        .withColumn("era_label", era_label("release_year"))
     )
-    return min_size(grouped, "game_count", gates.min_per_genre_year)
+    kept = min_size(grouped, "game_count", gates.min_per_genre_year)
+    return with_era(kept, eras, spread_by=genre).drop("era_sort_order")
 
 
 def genre_era(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
@@ -115,7 +132,26 @@ def genre_era(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
     return min_size(grouped, "game_count", gates.min_per_genre_era)
 
 
-def with_era(df: DataFrame) -> DataFrame:
+def with_era(
+    df: DataFrame, eras: DataFrame | None = None, spread_by: str = "game_key"
+) -> DataFrame:
+    """Add the era's label and place, from the fixed eras or from a table of them.
+
+    The table has the columns of ``schemas.ERA_TABLE``. Of overlapping eras the first in
+    order holds; a year in none is in the unknown era, whose place is one past the last.
+    """
+    if eras is not None:
+        found = interval_lookup(
+            df, eras, "release_year", "first_year", "last_year", "era_sort_order",
+            {"era_label": "era_label", "era_sort_order": "era_sort_order"}, spread_by,
+        )
+        past = eras.agg((F.max("era_sort_order") + 1).alias("past")).scalar()
+        return found.withColumns(
+            {
+                "era_label": F.coalesce("era_label", F.lit(NO_ERA)),
+                "era_sort_order": F.coalesce("era_sort_order", past, F.lit(1)),
+            }
+        )
     return df.withColumns(
         {"era_label": era_label("release_year"), "era_sort_order": era_order("release_year")}
     )

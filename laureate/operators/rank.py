@@ -12,6 +12,7 @@ from laureate.fixed import TOP_LABEL_SEPARATOR
 from laureate.operators.dedup import keep_first
 from laureate.operators.lookup import left_lookup
 from laureate.operators.order import in_order
+from laureate.operators.reuse import written_once
 
 
 @dataclass(frozen=True)
@@ -160,6 +161,28 @@ def dense_ranks(df: DataFrame, contests: Sequence[Contest], spread_by: str) -> D
     ).drop(*added)
 
 
+def dense_ranks_by_key(
+    df: DataFrame, contests: Sequence[Contest], key: str, spread_by: str
+) -> DataFrame:
+    """As ``dense_ranks``, with each contest's ranked rows joined back by ``key``.
+
+    Where rows share a key, each of them meets the ranks of all of them, once for every
+    contest. On unique keys the result is that of ``dense_ranks``. Like there, pass a
+    table.
+    """
+    ranked = written_once(
+        dense_ranks(df, contests, spread_by).select(
+            key, *[c for contest in contests for c in (contest.rank, contest.size) if c]
+        ),
+        "ranked-keys",
+    )
+    for contest in contests:
+        columns = [c for c in (contest.rank, contest.size) if c]
+        places = ranked.filter(F.col(contest.rank).isNotNull()).select(key, *columns)
+        df = left_lookup(df, places, [key], spread_by)
+    return df
+
+
 def _part(i: int) -> str:
     return f"_part{i}"
 

@@ -28,6 +28,11 @@ def _round(expr: str, places: int) -> str:
     )
 
 
+def _mean(expr: str, places: int) -> str:
+    """Values added up as decimals, so the order of rows does not matter."""
+    return _round(f"avg(CAST({expr} AS DECIMAL(24, 6)))", places)
+
+
 def _share(condition: str, places: int) -> str:
     return _round(
         f"CAST(count(*) FILTER (WHERE {condition}) AS DOUBLE) / count(*) * 100", places
@@ -50,44 +55,73 @@ def _rows_raw(rows) -> str:
 
 
 TITLES = """
+dated AS (
+    SELECT *, CAST(1991 + 5 * (year(o_orderdate) - 1995) + o_custkey % 5 AS INTEGER) AS year
+    FROM orders, customer, nation, region
+    WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey
+),
+placed AS (
+    SELECT *, CASE WHEN year = 2024 AND o_orderkey % 150 <> 0 THEN 2023 ELSE year END
+        AS release_year,
+        CAST([NULL, floor(o_totalprice * 100), floor(o_totalprice * 10), floor(o_totalprice),
+            floor(o_totalprice / 10), floor(o_totalprice / 100)][o_orderkey % 6 + 1] AS BIGINT)
+        AS owners_midpoint,
+        CASE WHEN o_orderkey % 29 <> 0 THEN (o_custkey % 4) * 2500 END AS reviews_total
+    FROM dated
+),
 titles AS (
     SELECT
         CAST(o_orderkey AS VARCHAR) AS game_key,
         CASE o_orderstatus WHEN 'F' THEN 'steam' ELSE 'metacritic' END AS source,
-        c_name AS name_raw,
-        CAST(year(o_orderdate) AS INTEGER) AS release_year,
-        CAST(50 + floor(o_totalprice / 10000) AS INTEGER) AS critic_score,
-        CASE WHEN c_acctbal < 0 THEN NULL ELSE floor(c_acctbal / 100) END AS user_score,
-        CASE WHEN year(o_orderdate) >= 1998 THEN CAST(o_custkey % 130 AS DOUBLE) END
+        [c_name, upper(c_name), replace(c_name, '#', '-'), '  ' || c_name || ' '][o_orderkey % 4 + 1]
+            AS name_raw,
+        release_year,
+        CASE WHEN o_orderkey % 23 <> 0
+            THEN CAST(least(50 + floor(o_totalprice / 10000), 95) AS INTEGER) END AS critic_score,
+        CASE WHEN c_acctbal < 0 THEN NULL
+            WHEN c_custkey % 3 = 0 THEN floor(c_acctbal / 1000) * 10
+            ELSE least(c_acctbal / 100, 90) END AS user_score,
+        CASE WHEN release_year >= 2003 THEN CAST(o_custkey % 130 AS DOUBLE) END
             AS avg_playtime_hrs,
-        CASE WHEN o_orderstatus <> 'P' THEN CAST(floor(o_totalprice * 30) AS BIGINT) END
-            AS owners_midpoint,
-        o_custkey % 1000 AS reviews_total,
+        CASE WHEN release_year >= 2003 THEN CAST(o_custkey % 130 * 45 AS DOUBLE) END
+            AS median_playtime_mins,
+        owners_midpoint, owners_midpoint // 2 AS owners_range_low,
+        owners_midpoint * 2 AS owners_range_high, reviews_total,
         CAST(o_orderkey % 101 AS DOUBLE) AS review_ratio_pct,
-        CASE left(o_orderpriority, 1)
-            WHEN '1' THEN 'Action RPG'
-            WHEN '2' THEN 'FPS'
-            WHEN '3' THEN CASE WHEN year(o_orderdate) % 3 = 0 THEN NULL ELSE 'Casual' END
-            WHEN '4' THEN ' '
-            WHEN '5' THEN CASE WHEN year(o_orderdate) % 2 = 1 THEN 'Strategy' END
-        END AS primary_genre,
-        c_mktsegment || ',' || n_name AS genres_raw,
+        reviews_total * (o_orderkey % 101) // 100 AS reviews_positive,
+        reviews_total - reviews_total * (o_orderkey % 101) // 100 AS reviews_negative,
+        CASE WHEN o_orderkey % 2 = 0 THEN reviews_total * 2 END AS recommendations,
+        CASE WHEN release_year >= 2003 THEN o_orderkey % 5000 END AS peak_ccu,
+        CAST(floor(o_totalprice / 100) / 100 AS DECIMAL(10, 2)) AS price_usd,
+        release_year >= 2003 AS has_playtime_data,
+        CASE o_orderkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' END AS score_match_tier,
+        ['Action RPG', 'FPS', 'Casual', ' ', 'Strategy', 'Massively Multiplayer',
+            'First-Person Shooter', 'RPG', NULL][o_orderkey % 9 + 1] AS primary_genre,
+        CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN ',' || n_name
+            ELSE c_mktsegment || ',' || n_name END AS genres_raw,
         CASE WHEN c_custkey % 7 = 0 THEN '' ELSE n_name END AS developer,
-        r_name AS publisher
-    FROM orders, customer, nation, region
-    WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey
+        CASE c_custkey % 11 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE r_name END AS publisher
+    FROM placed
 )"""
 
 SEED = """
-seed AS (
+curated AS (
     SELECT
-        '  ' || upper(c_name) || ' ' AS game_name,
-        CAST(1996 + (c_custkey // 5) % 5 AS INTEGER) AS seed_year,
+        c_custkey, '  ' || upper(c_name) || ' ' AS game_name,
+        CAST(1990 + 5 * ((c_custkey // 5) % 7) + c_custkey % 5 + c_custkey % 3 AS INTEGER)
+            AS seed_year,
         c_mktsegment AS developer_clean,
-        CASE WHEN c_custkey % 3 = 0 THEN '' ELSE r_name END AS genre_clean,
-        c_custkey % 10 = 0 AS is_vr
+        CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 5 < 4 THEN r_name END AS genre_clean,
+        CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 10 = 0 END AS is_vr
     FROM customer, nation, region
     WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey
+),
+seed AS (
+    SELECT * FROM curated
+    UNION ALL SELECT c_custkey, game_name, seed_year + 1, 'Studio', 'RPG', true FROM curated
+        WHERE c_custkey % 4 = 0
+    UNION ALL SELECT c_custkey, game_name, seed_year, NULL, 'Puzzle', false FROM curated
+        WHERE c_custkey % 8 = 0
 )"""
 
 FLAGS = """
@@ -119,14 +153,17 @@ winners AS (
     QUALIFY row_number() OVER (
         PARTITION BY regexp_replace(lower(trim(name_raw)), '[^a-z0-9 ]', '', 'g'), release_year
         ORDER BY source = 'steam' DESC, critic_score DESC, game_key,
-            abs(release_year - seed_year) NULLS LAST, seed_year
+            abs(release_year - seed_year) NULLS LAST, seed_year, developer_clean NULLS FIRST,
+            genre_clean NULLS FIRST, s.is_vr NULLS FIRST
     ) = 1
 ),
 enriched AS (
     SELECT
         w.game_key, w.source, w.name_raw AS game_name, w.release_year, w.critic_score,
-        w.user_score, w.avg_playtime_hrs, w.owners_midpoint, w.reviews_total,
-        w.review_ratio_pct,
+        w.user_score, w.avg_playtime_hrs, w.median_playtime_mins, w.owners_midpoint,
+        w.owners_range_low, w.owners_range_high, w.reviews_total, w.review_ratio_pct,
+        w.reviews_positive, w.reviews_negative, w.recommendations, w.peak_ccu, w.price_usd,
+        w.has_playtime_data, w.score_match_tier,
         CASE
             WHEN trim(coalesce(developer_clean, '')) <> '' THEN trim(developer_clean)
             WHEN trim(coalesce(developer, '')) <> '' THEN trim(developer)
@@ -164,18 +201,18 @@ years AS (
         release_year,
         count(*) AS total_games,
         count(critic_score) AS scored_games,
-        {_round("avg(critic_score)", 2)} AS avg_critic_score,
+        {_mean("critic_score", 2)} AS avg_critic_score,
         {_share("critic_score >= 90", 2)} AS pct_above_90,
         {_share("critic_score >= 80", 2)} AS pct_above_80,
         {_share("critic_score >= 70", 2)} AS pct_above_70,
         max(critic_score) AS peak_score,
         count(DISTINCT primary_genre) AS distinct_genres,
-        {_round("avg(avg_playtime_hrs)", 2)} AS avg_playtime_hrs,
+        {_mean("avg_playtime_hrs", 2)} AS avg_playtime_hrs,
         count(avg_playtime_hrs) AS games_with_playtime,
-        {_round("avg(user_score)", 2)} AS avg_user_score,
+        {_mean("user_score", 2)} AS avg_user_score,
         count(user_score) AS games_with_user_score,
-        {_round("avg(review_ratio_pct)", 2)} AS avg_review_ratio,
-        {_round("avg(owners_midpoint)", 0)} AS avg_owners_midpoint
+        {_mean("review_ratio_pct", 2)} AS avg_review_ratio,
+        {_mean("owners_midpoint", 0)} AS avg_owners_midpoint
     FROM titles
     WHERE release_year BETWEEN 1993 AND 2024
     GROUP BY release_year
@@ -234,14 +271,14 @@ genre_years AS (
     SELECT
         {genre}, release_year,
         count(*) AS game_count,
-        {_round("avg(critic_score)", 2)} AS avg_critic_score,
-        {_round("avg(user_score)", 2)} AS avg_user_score,
+        {_mean("critic_score", 2)} AS avg_critic_score,
+        {_mean("user_score", 2)} AS avg_user_score,
         max(critic_score) AS peak_score,
         {_share("critic_score >= 90", 1)} AS pct_above_90,
         {_share("critic_score >= 80", 1)} AS pct_above_80,
-        {_round("avg(avg_playtime_hrs)", 2)} AS avg_playtime_hrs,
-        {_round("avg(owners_midpoint)", 0)} AS avg_owners_midpoint,
-        {_round("avg(coalesce(user_score, 0) - critic_score)", 2)} AS avg_nostalgia_delta,
+        {_mean("avg_playtime_hrs", 2)} AS avg_playtime_hrs,
+        {_mean("owners_midpoint", 0)} AS avg_owners_midpoint,
+        {_mean("coalesce(user_score, 0) - critic_score", 2)} AS avg_nostalgia_delta,
         (SELECT era_label FROM eras WHERE release_year BETWEEN first_year AND last_year)
             AS era_label
     FROM {source}
@@ -287,7 +324,7 @@ era_stats AS (
     SELECT
         era_label, era_sort_order,
         count(*) AS era_qualified_games,
-        {_round("avg(critic_score)", 1)} AS era_avg_score,
+        {_mean("critic_score", 1)} AS era_avg_score,
         max(critic_score) AS era_peak_score,
         count(DISTINCT genre) AS era_distinct_genres,
         min(release_year) AS era_start_year,
@@ -330,8 +367,7 @@ champions AS (
         vr_era_rank, coalesce(vr_era_rank, 0) = 1 AS is_vr_era_champion,
         era_qualified_games, era_avg_score, era_peak_score, era_distinct_genres,
         era_start_year, era_end_year, era_vr_games, avg_playtime_hrs, owners_midpoint,
-        reviews_total, review_ratio_pct, CAST(NULL AS BIGINT) AS peak_ccu,
-        CAST(NULL AS BOOLEAN) AS has_playtime_data, CAST(NULL AS VARCHAR) AS score_match_tier
+        reviews_total, review_ratio_pct, peak_ccu, has_playtime_data, score_match_tier
     FROM games
     LEFT JOIN era_ranks USING (game_key)
     LEFT JOIN genre_ranks USING (game_key)
@@ -378,21 +414,17 @@ items AS (
     SELECT
         game_key, source, game_name, release_year, era_label, genre, developer, publisher,
         is_vr, critic_score, user_score, nostalgia_delta, nostalgia_label, game_age_years,
-        age_bucket, age_bucket_sort, avg_playtime_hrs,
-        CAST(NULL AS DOUBLE) AS median_playtime_mins, CAST(NULL AS BIGINT) AS peak_ccu,
-        longevity_tier, longevity_tier_sort, CAST(NULL AS BOOLEAN) AS has_playtime_data,
-        owners_midpoint, CAST(NULL AS BIGINT) AS owners_range_low,
-        CAST(NULL AS BIGINT) AS owners_range_high, ownership_tier,
-        CAST(NULL AS BIGINT) AS reviews_positive, CAST(NULL AS BIGINT) AS reviews_negative,
-        reviews_total, review_ratio_pct, CAST(NULL AS BIGINT) AS recommendations,
-        CAST(NULL AS DECIMAL(10, 2)) AS price_usd, CAST(NULL AS VARCHAR) AS score_match_tier
+        age_bucket, age_bucket_sort, avg_playtime_hrs, median_playtime_mins, peak_ccu,
+        longevity_tier, longevity_tier_sort, has_playtime_data, owners_midpoint, owners_range_low,
+        owners_range_high, ownership_tier, reviews_positive, reviews_negative, reviews_total,
+        review_ratio_pct, recommendations, price_usd, score_match_tier
     FROM labelled
 )"""
 
 MATRIX = f"""{GAMES},
 matrix AS (
     SELECT genre, era_label, era_sort_order, count(*) AS game_count,
-        {_round("avg(critic_score)", 2)} AS avg_critic_score,
+        {_mean("critic_score", 2)} AS avg_critic_score,
         {_share("critic_score >= 80", 1)} AS pct_above_80
     FROM games WHERE genre IS NOT NULL
     GROUP BY genre, era_label, era_sort_order HAVING count(*) >= 3
@@ -405,7 +437,7 @@ def _bucket_query(columns: str) -> str:
 
 def _gap_by(column: str) -> str:
     return f"""WITH {ITEMS}
-SELECT {column}, {_round("avg(nostalgia_delta)", 2)} AS avg_nostalgia_delta,
+SELECT {column}, {_mean("nostalgia_delta", 2)} AS avg_nostalgia_delta,
     count(nostalgia_delta) AS compared_games
 FROM items GROUP BY {column}"""
 
@@ -413,8 +445,8 @@ FROM items GROUP BY {column}"""
 def _survivorship(column: str) -> str:
     return f"""WITH {ITEMS}
 SELECT {column}, count(*) AS game_count,
-    {_round("avg(critic_score)", 2)} AS avg_critic_score,
-    {_round("avg(owners_midpoint)", 0)} AS avg_owners_midpoint
+    {_mean("critic_score", 2)} AS avg_critic_score,
+    {_mean("owners_midpoint", 0)} AS avg_owners_midpoint
 FROM items GROUP BY {column}"""
 
 
@@ -430,6 +462,44 @@ def _null_union() -> str:
     return f"WITH {ITEMS}\n" + "\nUNION ALL\n".join(parts)
 
 
+def _shared_keys(sql: str) -> str:
+    whole = "CAST(o_orderkey AS VARCHAR) AS game_key"
+    assert whole in sql
+    return sql.replace(whole, "CAST(o_orderkey // 2 AS VARCHAR) AS game_key")
+
+
+# Years of overlapping eras go to the first in order.
+OTHER_ERAS = """
+era_years AS (SELECT release_year, count(*) AS n FROM titles GROUP BY release_year),
+era_table AS (
+    SELECT DISTINCT release_year - release_year % 3 AS first_year,
+        release_year - release_year % 3 + 1 AS last_year,
+        'Years from ' || (release_year - release_year % 3) AS era_label,
+        2100 - (release_year - release_year % 3) AS era_sort_order
+    FROM era_years
+    UNION ALL
+    SELECT * FROM (SELECT release_year, release_year, 'Fullest year', 0 FROM era_years
+        ORDER BY n DESC, release_year DESC LIMIT 1)
+),
+eras AS (
+    SELECT y AS first_year, y AS last_year, arg_min(era_label, era_sort_order) AS era_label,
+        CAST(min(era_sort_order) AS INTEGER) AS era_sort_order
+    FROM era_table, (SELECT unnest(range(1980, 2040)) AS y)
+    WHERE y BETWEEN era_table.first_year AND era_table.last_year GROUP BY y
+)"""
+
+
+def _other_eras(sql: str) -> str:
+    assert ERAS in sql and "coalesce(era_sort_order, 10)" in sql
+    past = "coalesce(era_sort_order, (SELECT max(era_sort_order) + 1 FROM era_table))"
+    return sql.replace(ERAS, OTHER_ERAS).replace("coalesce(era_sort_order, 10)", past)
+
+
+def _placed(report: str, columns: str, order: str) -> str:
+    return f"""WITH {report[0]}
+SELECT row_number() OVER (ORDER BY {order}) AS place, {columns} FROM {report[1]}"""
+
+
 _WEIGHTED_ZERO = " + ".join(
     f"coalesce({p}, 0) * {w}::DOUBLE" for p, w in fixed.PILLAR_WEIGHTS.items()
 )
@@ -438,7 +508,86 @@ _WEIGHT_USED = " + ".join(
     for p, w in fixed.PILLAR_WEIGHTS.items()
 )
 
+_BY_SCORE = "critic_score DESC, coalesce(user_score, 0) DESC, game_key"
+
+# A record is short, long, misfit or good, in this order.
+INGEST = f"""WITH {TITLES},
+numbered AS (
+    SELECT *, CAST(game_key AS BIGINT) AS n,
+        n % 11 = 0 AS short, n % 13 = 0 AS long, n % 17 = 0 AS misfit,
+        CASE n % 5 WHEN 0 THEN name_raw || ', Jr.' WHEN 1 THEN 'The "' || name_raw || '"'
+            ELSE name_raw END AS full_name
+    FROM titles
+)
+SELECT NOT (short OR long OR misfit) AS accepted,
+    CASE WHEN accepted THEN game_key END AS game_key, CASE WHEN accepted THEN source END AS source,
+    CASE WHEN accepted THEN full_name END AS name_raw,
+    CASE WHEN accepted THEN release_year END AS release_year,
+    CASE WHEN accepted THEN critic_score END AS critic_score,
+    CASE WHEN accepted THEN user_score END AS user_score,
+    CASE WHEN accepted THEN publisher END AS publisher,
+    CASE WHEN short THEN concat_ws(',', game_key, source, trim(name_raw))
+        WHEN long OR misfit THEN concat_ws(',', game_key, source,
+            CASE WHEN n % 5 < 2 THEN '"' || replace(full_name, '"', '""') || '"'
+                ELSE full_name END,
+            CAST(release_year AS VARCHAR),
+            CASE WHEN misfit THEN 'n/a' ELSE coalesce(CAST(critic_score AS VARCHAR), '') END,
+            coalesce(CAST(user_score AS VARCHAR), ''),
+            CASE WHEN long THEN 'Ltd,extra' ELSE coalesce(publisher, '') END)
+        END AS refused
+FROM numbered"""
+
 ORACLE: dict[str, str] = {
+    "q_agg_null_groups": f"""WITH {GAMES},
+eligible AS (SELECT game_key, era_label, genre FROM games WHERE critic_score >= 80),
+sizes AS (SELECT era_label, genre, count(*) AS joined_rows FROM eligible GROUP BY ALL)
+SELECT game_key, e.era_label, e.genre,
+    count(*) OVER (PARTITION BY e.era_label, e.genre) AS group_rows, joined_rows
+FROM eligible e LEFT JOIN sizes s ON s.era_label = e.era_label AND s.genre = e.genre""",
+    "q_ingest_csv": INGEST,
+    "q_merge_sources": f"""WITH {TITLES},
+named AS (
+    SELECT * REPLACE (CASE WHEN reviews_total % 1000 = 0
+        THEN replace(lower(name_raw), 'customer', 'Покупатель') ELSE name_raw END AS name_raw)
+    FROM titles
+)
+SELECT game_key, source, name_raw, release_year, critic_score FROM named
+WHERE critic_score BETWEEN 0 AND 100 AND release_year BETWEEN 1993 AND 2024
+QUALIFY row_number() OVER (
+    PARTITION BY regexp_replace(lower(trim(name_raw)), '[^\\p{{L}}\\p{{M}}\\p{{N}} ]', '', 'g'),
+        release_year
+    ORDER BY source = 'steam' DESC, critic_score DESC, game_key, name_raw) = 1""",
+    "q_replace_reload": f"""WITH {TITLES}
+SELECT game_key, source, critic_score, release_year, price_usd FROM titles
+WHERE source = 'metacritic' OR critic_score >= 75 AND release_year BETWEEN 1993 AND 2024""",
+    "q_reload_inputs": f"""WITH {ENRICHED}
+SELECT game_key, developer, publisher, genre, genres_raw, is_vr FROM enriched""",
+    "q_key_audit": f"""WITH {_shared_keys(TITLES)}
+SELECT game_key, count(*) AS n_rows FROM titles GROUP BY game_key HAVING count(*) > 1""",
+    "q_join_repeated_keys": f"""WITH {_shared_keys(CHAMPIONS)}
+SELECT game_key, game_name, release_year, era_rank, genre_era_rank, genre_era_count, vr_era_rank
+FROM champions""",
+    "q_order_index": _placed(
+        (INDEX_REPORT, "index_report"), "release_year, golden_era_index", "release_year"
+    ),
+    "q_order_champions": _placed(
+        (CHAMPIONS, "champions"), "game_key, era_sort_order, critic_score, user_score",
+        f"era_sort_order, {_BY_SCORE}",
+    ),
+    "q_order_genre": _placed(
+        (GENRE_YEARS, "quality"), "genre, release_year", "genre, release_year"
+    ),
+    "q_order_items": _placed(
+        (ITEMS, "items"), "game_key, critic_score, user_score", _BY_SCORE
+    ),
+    "q_report_champions_eras": f"WITH {_other_eras(CHAMPIONS)} SELECT * FROM champions",
+    "q_report_index_eras": f"""WITH {INDEXED}, {OTHER_ERAS}
+SELECT release_year, coalesce(era_label, 'Unknown') AS era_label, total_games, golden_era_index
+FROM indexed LEFT JOIN eras ON release_year BETWEEN first_year AND last_year""",
+    "q_view_champions_genre": f"""WITH {CHAMPIONS}
+SELECT game_key, genre, genre_era_rank FROM champions WHERE genre = 'RPG'""",
+    "q_view_champions_vr": f"""WITH {CHAMPIONS}
+SELECT game_key, is_vr, vr_era_rank FROM champions WHERE is_vr""",
     "q_agg_year_profile": f"WITH {YEARS} SELECT * FROM years",
     "q_agg_distinct": f"""WITH {TITLES}
 SELECT release_year, count(DISTINCT primary_genre) AS distinct_genres

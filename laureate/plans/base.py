@@ -17,9 +17,12 @@ from laureate.operators.metrics import with_era
 
 
 class Inputs(NamedTuple):
+    """``eras`` (columns as in ``schemas.ERA_TABLE``) takes the place of the fixed eras."""
+
     titles: DataFrame
     seed: DataFrame
     flags: DataFrame
+    eras: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -54,7 +57,8 @@ def enriched(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> DataFrame:
         any_whitespace=blanks,
     )
     seeded = join_nearest_seed(kept, inputs.seed, options.year_tolerance, blanks)
-    return with_era(resolve(membership_flag(seeded, inputs.flags, "_flagged"), blanks))
+    flagged = membership_flag(seeded, inputs.flags, "_flagged")
+    return with_era(resolve(flagged, blanks), inputs.eras)
 
 
 def games(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laureate.fixed import DEFAULT_GATES, Gates
 from laureate.functions.numbers import score_gap
+from laureate.operators.keys import is_unique
 from laureate.operators.metrics import era_stats
-from laureate.operators.rank import Contest, dense_ranks, is_first
+from laureate.operators.order import numbered
+from laureate.operators.rank import Contest, dense_ranks, dense_ranks_by_key, is_first
 from laureate.operators.reuse import written_once
 from laureate.plans.base import DEFAULT_OPTIONS, Inputs, Options, games
 from laureate.schemas import CHAMPION_COLUMNS
@@ -51,18 +53,28 @@ def flagged_contest(gates: Gates = DEFAULT_GATES) -> Contest:
     )
 
 
-def champions_report(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> DataFrame:
+def champions_report(
+    inputs: Inputs, options: Options = DEFAULT_OPTIONS, keys: str = "audit"
+) -> DataFrame:
     """One row per qualifying title, with its ranks and its era's figures.
 
     Titles without a genre are ranked in their era, but its figures leave them out.
+    The definition joins ranks back by ``game_key``. ``keys="audit"`` checks whether titles
+    share one and only then makes that join, by which each of them meets the ranks of all;
+    ``"unique"`` and ``"repeated"`` say so without the check.
     """
+    if keys not in ("audit", "unique", "repeated"):
+        raise ValueError(f"keys must be 'audit', 'unique' or 'repeated', not {keys!r}")
     contests = (era_contest(), genre_contest(options.gates), flagged_contest(options.gates))
     base = with_rank_keys(written_once(games(inputs, options), "champion-games"))
-    ranked = dense_ranks(base, contests, spread_by="game_key")
+    if keys == "unique" or keys == "audit" and is_unique(base, ["game_key"]):
+        ranked = dense_ranks(base, contests, spread_by="game_key")
+    else:
+        ranked = dense_ranks_by_key(base, contests, "game_key", spread_by="game_name")
     eras = era_stats(base).drop("era_sort_order")
-    # One row per era label, of which there are ten.
+    # One row per era label, of which there are ten; a table of eras may have any number.
     return (
-        ranked.join(F.broadcast(eras), "era_label", "left")
+        ranked.join(F.broadcast(eras) if inputs.eras is None else eras, "era_label", "left")
         .withColumns(
             {
                 "nostalgia_delta": F.round(
@@ -77,11 +89,20 @@ def champions_report(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> Data
     )
 
 
-def ordered(report: DataFrame) -> DataFrame:
-    """In display order; the key lets Spark split runs of equal scores."""
-    return report.orderBy(
-        "era_sort_order",
+def display_order() -> list[Column]:
+    """The key lets Spark split runs of equal scores."""
+    return [
+        F.col("era_sort_order"),
         F.desc("critic_score"),
         F.coalesce("user_score", F.lit(0.0)).desc(),
-        "game_key",
-    )
+        F.col("game_key"),
+    ]
+
+
+def ordered(report: DataFrame) -> DataFrame:
+    return report.orderBy(*display_order())
+
+
+def placed(report: DataFrame) -> DataFrame:
+    """With each row's place in the display order, which no later step can lose."""
+    return numbered(report, display_order())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laureate.functions import labels
 from laureate.functions.numbers import score_gap
+from laureate.operators.order import numbered
 from laureate.plans.base import DEFAULT_OPTIONS, Inputs, Options, games
 from laureate.schemas import ITEM_COLUMNS
 
@@ -33,8 +34,17 @@ def items_report(inputs: Inputs, options: Options = DEFAULT_OPTIONS) -> DataFram
     return with_labels(games(inputs, options)).select(*ITEM_COLUMNS)
 
 
+def display_order() -> list[Column]:
+    """The key lets Spark split runs of equal scores."""
+    return [
+        F.desc("critic_score"), F.coalesce("user_score", F.lit(0.0)).desc(), F.col("game_key")
+    ]
+
+
 def ordered(report: DataFrame) -> DataFrame:
-    """In display order; the key lets Spark split runs of equal scores."""
-    return report.orderBy(
-        F.desc("critic_score"), F.coalesce("user_score", F.lit(0.0)).desc(), "game_key"
-    )
+    return report.orderBy(*display_order())
+
+
+def placed(report: DataFrame) -> DataFrame:
+    """With each row's place in the display order, which no later step can lose."""
+    return numbered(report, display_order())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laureate.operators.metrics import genre_year
+from laureate.operators.order import numbered
 from laureate.operators.rank import top_k, top_k_label, with_peak
 from laureate.operators.reuse import written_once
 from laureate.operators.scale import quality_index
@@ -65,7 +66,7 @@ def timeline_report(
         ),
         "timeline-games",
     )
-    years = indexed(genre_year(rows, gates=options.gates)).withColumns(
+    years = indexed(genre_year(rows, gates=options.gates, eras=inputs.eras)).withColumns(
         {
             "yoy_score_delta": period_delta(
                 "avg_critic_score", within=["genre"], places=2, adjacent_only=adjacent_only
@@ -85,3 +86,8 @@ def timeline_report(
 
 def ordered(report: DataFrame) -> DataFrame:
     return report.orderBy("genre", "release_year")
+
+
+def placed(report: DataFrame) -> DataFrame:
+    """With each row's place in the display order."""
+    return numbered(report, [F.col("genre"), F.col("release_year")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -105,13 +106,16 @@ def quality_matrix(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
     )
 
 
-def quality_matrix_wide(games: DataFrame, gates: Gates = DEFAULT_GATES) -> DataFrame:
+def quality_matrix_wide(
+    games: DataFrame, gates: Gates = DEFAULT_GATES, labels: Sequence[str] = ()
+) -> DataFrame:
     """The same with a column per era; the eras are given, so no extra pass finds them.
 
-    Gates that admit years outside all eras add a column for those.
+    Gates that admit years outside all eras add a column for those. ``labels`` names the
+    columns where games have other eras.
     """
-    labels = [label for _, _, label in ERAS]
-    if gates.first_year < ERAS[0][0] or gates.last_year > ERAS[-1][1]:
+    given, labels = bool(labels), list(labels) or [label for _, _, label in ERAS]
+    if not given and (gates.first_year < ERAS[0][0] or gates.last_year > ERAS[-1][1]):
         labels.append(UNKNOWN)
     return (
         quality_matrix(games, gates)

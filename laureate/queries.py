@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 from laureate import fixed
 from laureate.functions import labels
 from laureate.functions.text import name_key
-from laureate.operators import dedup, enrich, metrics, rank, scale, trend
-from laureate.operators.reuse import written_once
+from laureate.operators import dedup, enrich, keys, metrics, rank, scale, trend
+from laureate.operators.reuse import work_folder, written_once
 from laureate.plans import base, champions, index_report, items, timeline, views
-from laureate.sources import trade
+from laureate.sources import merge, raw_csv, tables, trade
+
+#: A key that two titles share.
+SHARED_KEY = "o_orderkey div 2"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,9 +81,97 @@ def q_agg_genre_year(spark, sf_dir):
     return metrics.genre_year(_gated(spark, sf_dir), genre="genres_raw")
 
 
+@query
+def q_agg_null_groups(spark, sf_dir):
+    """Group sizes as windows count them, NULL groups included, and as a join keeps them."""
+    within = ["era_label", "genre"]
+    rows = _games_once(spark, sf_dir).filter(
+        F.col("critic_score") >= fixed.DEFAULT_GATES.champion_score
+    ).select("game_key", *within)
+    counted = metrics.with_group_size(rows, within, "group_rows", "game_key", null_safe=True)
+    return metrics.with_group_size(counted, within, "joined_rows", "game_key")
+
+
+# Sources
+
+
+@query
+def q_ingest_csv(spark, sf_dir):
+    """Raw lines written and read back: accepted records, and refused ones as they were."""
+    path = f"{work_folder(spark)}/raw-{uuid4().hex}"
+    trade.write_lines(trade.raw_lines(spark, sf_dir), path)
+    found = raw_csv.ingest_csv(spark, path, trade.RAW)
+    good = F.col(raw_csv.CORRUPT).isNull()
+    return found.select(
+        good.alias("accepted"),
+        *[F.when(good, F.col(c)).alias(c) for c in trade.RAW.names],
+        F.col(raw_csv.CORRUPT).alias("refused"),
+    )
+
+
+@query
+def q_merge_sources(spark, sf_dir):
+    return merge.merge_sources(*trade.sources(spark, sf_dir)).select(
+        "game_key", "source", "name_raw", "release_year", "critic_score"
+    )
+
+
+def _table_name(label: str) -> str:
+    return f"{label}_{uuid4().hex}"
+
+
+@query
+def q_replace_reload(spark, sf_dir):
+    """A catalog table replaced twice, the second time from itself, and read by name."""
+    name, folder = _table_name("titles"), work_folder(spark)
+    rows = trade.titles(spark, sf_dir)
+    tables.swap_table(rows.filter("source = 'metacritic'"), name, folder)
+    tables.swap_table(rows.filter("source = 'steam'"), name, folder)
+    kept = enrich.gate(tables.load_staging(spark, name))
+    tables.swap_table(kept.union(rows.filter("source = 'metacritic'")), name, folder)
+    return tables.load_staging(spark, name).select(
+        "game_key", "source", "critic_score", "release_year", "price_usd"
+    )
+
+
+@query
+def q_reload_inputs(spark, sf_dir):
+    """Titles resolved from inputs that were stored as tables and loaded by name."""
+    stored, folder = {}, work_folder(spark)
+    for label, df in trade.inputs(spark, sf_dir)._asdict().items():
+        if df is not None:
+            stored[label] = _table_name(label)
+            tables.swap_table(df, stored[label], folder)
+    inputs = base.Inputs(
+        tables.load_staging(spark, stored["titles"]),
+        tables.load_seed(spark, stored["seed"]),
+        tables.load_flag_seed(spark, stored["flags"]),
+    )
+    return base.enriched(inputs).select(
+        "game_key", "developer", "publisher", "genre", "genres_raw", "is_vr"
+    )
+
+
 # Joins
 
 
+@query
+def q_key_audit(spark, sf_dir):
+    return keys.repeated_keys(trade.titles(spark, sf_dir, key=SHARED_KEY), ["game_key"])
+
+
+@query
+def q_join_repeated_keys(spark, sf_dir):
+    """Ranks joined back where titles share a key, which the report finds out itself."""
+    inputs = trade.inputs(spark, sf_dir)._replace(
+        titles=trade.titles(spark, sf_dir, key=SHARED_KEY)
+    )
+    return champions.champions_report(inputs).select(
+        "game_key", "game_name", "release_year", "era_rank", "genre_era_rank",
+        "genre_era_count", "vr_era_rank",
+    )
+
+
 @query
 def q_join_tolerance(spark, sf_dir):
     joined = enrich.tolerant_join(
@@ -369,9 +461,67 @@ def q_report_items(spark, sf_dir):
     return items.items_report(trade.inputs(spark, sf_dir))
 
 
+@query
+def q_order_index(spark, sf_dir):
+    report = index_report.placed(index_report.index_report(trade.titles(spark, sf_dir)))
+    return report.select("place", "release_year", "golden_era_index")
+
+
+@query
+def q_order_champions(spark, sf_dir):
+    report = champions.champions_report(trade.inputs(spark, sf_dir))
+    return champions.placed(report).select(
+        "place", "game_key", "era_sort_order", "critic_score", "user_score"
+    )
+
+
+@query
+def q_order_genre(spark, sf_dir):
+    report = timeline.timeline_report(trade.inputs(spark, sf_dir))
+    return timeline.placed(report).select("place", "genre", "release_year")
+
+
+@query
+def q_order_items(spark, sf_dir):
+    return items.placed(_items(spark, sf_dir)).select(
+        "place", "game_key", "critic_score", "user_score"
+    )
+
+
+def _with_eras(spark: SparkSession, sf_dir: str) -> base.Inputs:
+    """Inputs with eras made from the data in place of the fixed ones."""
+    eras = written_once(trade.eras(spark, sf_dir), "eras")
+    return trade.inputs(spark, sf_dir)._replace(eras=eras)
+
+
+@query
+def q_report_champions_eras(spark, sf_dir):
+    return champions.champions_report(_with_eras(spark, sf_dir))
+
+
+@query
+def q_report_index_eras(spark, sf_dir):
+    inputs = _with_eras(spark, sf_dir)
+    return index_report.index_report(inputs.titles, eras=inputs.eras).select(
+        "release_year", "era_label", "total_games", "golden_era_index"
+    )
+
+
 # Views
 
 
+@query
+def q_view_champions_genre(spark, sf_dir):
+    report = champions.champions_report(trade.inputs(spark, sf_dir))
+    return views.champions(report, genre="RPG").select("game_key", "genre", "genre_era_rank")
+
+
+@query
+def q_view_champions_vr(spark, sf_dir):
+    report = champions.champions_report(trade.inputs(spark, sf_dir))
+    return views.champions(report, "vr_titles").select("game_key", "is_vr", "vr_era_rank")
+
+
 @query
 def q_view_champions(spark, sf_dir):
     report = champions.champions_report(trade.inputs(spark, sf_dir))

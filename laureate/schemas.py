@@ -44,6 +44,15 @@ SEED = T.StructType(
     ]
 )
 
+ERA_TABLE = T.StructType(
+    [
+        T.StructField("first_year", T.IntegerType(), False),
+        T.StructField("last_year", T.IntegerType(), False),
+        T.StructField("era_label", T.StringType(), False),
+        T.StructField("era_sort_order", T.IntegerType(), False),
+    ]
+)
+
 FLAG_SEED = T.StructType([T.StructField("app_id", T.StringType(), False)])
 
 # --- fixed values: report columns, in output order ---

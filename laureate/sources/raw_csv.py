@@ -54,7 +54,8 @@ def ingest_csv(
     misfit = reduce(
         or_, [F.col(name).isNotNull() & value.isNull() for name, value in typed.items()]
     )
-    fields = F.to_csv(F.struct(*schema.names))
+    blanks = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    fields = F.to_csv(F.struct(*schema.names), {"escape": '"', **blanks})
     return lines.select(
         *[value.alias(name) for name, value in typed.items()],
         F.coalesce(F.col(CORRUPT), F.when(misfit, fields)).alias(CORRUPT),
