@@ -6,10 +6,10 @@ by a hash of its path, on average one and a quarter, and classes with the same m
 token at a chosen place meet in a child. Pairs that are similar enough meet in
 small nodes with a probability per tree that falls with the depth, and independent trees
 raise that to the target recall: the deeper nodes stay open, the more trees are grown
-for the classes in them. Every node is first compared with a few of its members. What is
-left to find in it are pairs from different components: if they are few for
-its size they are all compared, else the node branches again. Every link is confirmed
-on the full sets.
+for the classes in them. Every node is first compared with a few of its members, a node
+of few members with all. What is left to find in it are pairs from different components:
+if a task can compare their signatures it does, and only pairs that may be links become
+rows; else the node branches again. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ PLACES, TREES = 64, 16
 FIRST_TREES = 2
 #: Members that a whole node is compared with.
 LEADERS = 8
-#: A node is small if it has at most so many open pairs for each member, as a node of
-#: 64 classes has without any link.
-OPEN_PAIRS = 32
+#: A node is small if one task can compare it: so many pairs between components, and
+#: members, of 260 bytes each.
+OPEN_PAIRS, MEMBERS = 1 << 21, 1 << 16
 #: Levels that a large node goes down before it is looked at again.
 LEVELS = 3
 #: A link's share of equal minwise tokens may lie this far below the similarity.
@@ -120,6 +120,77 @@ def _linked(percent: int):
     return run
 
 
+def close_pairs(
+    classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, tokens: np.ndarray,
+    percent: int, least: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different parts whose sizes and signatures allow a link.
+
+    ``tokens`` has a row per place. The largest part is not compared with itself, so a
+    group of linked texts costs no more than its pairs with others.
+    """
+    names, part, many = np.unique(parts, return_inverse=True, return_counts=True)
+    strangers = np.flatnonzero(part != many.argmax())
+    left, right = [], []
+    for at in range(0, len(strangers), 256):
+        rows = strangers[at : at + 256]
+        equal = np.zeros((len(rows), len(classes)), dtype=np.uint8)
+        for place in tokens:
+            equal += place[rows][:, None] == place[None, :]
+        small = np.minimum(sizes[rows][:, None], sizes[None, :])
+        large = np.maximum(sizes[rows][:, None], sizes[None, :])
+        fits = (equal >= least) & (100 * small >= percent * large)
+        fits &= part[rows][:, None] != part[None, :]
+        i, j = np.nonzero(fits)
+        a, b = classes[rows[i]], classes[j]
+        left.append(np.minimum(a, b))
+        right.append(np.maximum(a, b))
+    if not left:
+        return classes[:0], classes[:0]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _within_nodes(percent: int, least: int):
+    """``close_pairs`` of each node, whose rows follow one another."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def settled(table_: pa.Table) -> pa.RecordBatch | None:
+            flat = table_["tokens"].combine_chunks().flatten().to_numpy()
+            tokens = flat.reshape(-1, PLACES)
+            node, classes, component, sizes = (
+                table_[c].to_numpy() for c in ("node", "class", "component", "size")
+            )
+            edges = np.flatnonzero(np.diff(node, prepend=node[0] - 1, append=node[-1] - 1))
+            found = [
+                close_pairs(classes[x:y], component[x:y], sizes[x:y],
+                            np.ascontiguousarray(tokens[x:y].T), percent, least)
+                for x, y in zip(edges, edges[1:])
+            ]
+            a, b = (np.concatenate(side) for side in zip(*found))
+            pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.stack([a, b])
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+        for part in parts:
+            if not part.num_rows:
+                continue
+            # All but the last node of the rows so far are whole.
+            nodes = part.column(0).to_numpy()
+            whole = int(np.searchsorted(nodes, nodes[-1]))
+            starts_new = not held or held[-1].column(0)[-1].as_py() != nodes[0]
+            if whole or starts_new:
+                ready = [*held, part.slice(0, whole)] if whole else held
+                if ready:
+                    yield settled(pa.Table.from_batches(ready))
+                held = []
+            held.append(part.slice(whole))
+        if held:
+            yield settled(pa.Table.from_batches(held))
+
+    return run
+
+
 class _Join:
     """The state of one join: classes, their sets, and what is known of pairs."""
 
@@ -148,13 +219,34 @@ class _Join:
             F.lit(0), lambda s, x: s + x,
         )
         small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-        close = written(
+        self._confirm(
             pairs.join(sides[0], "a").join(sides[1], "b")
             .filter(100 * small >= self.percent * large)
             .filter(equal >= self.least)
-            .select("a", "b"),
-            "close-pairs",
+            .select("a", "b")
         )
+
+    def compare_nodes(self, members: DataFrame) -> None:
+        """Compare all members of small nodes that are of different components.
+
+        ``members`` has node, class and component. Nodes lie whole in a task; of a node's
+        pairs only those become rows whose signatures say that they may be links.
+        """
+        rows = members.join(self.classes.select("class", "size", "tokens"), "class")
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = (
+            rows.select("node", "class", "component", "size", "tokens")
+            .repartition(parts, "node").sortWithinPartitions("node")
+        )
+        pairs = rows.mapInArrow(_within_nodes(self.percent, self.least), "a bigint, b bigint")
+        pairs = pairs.distinct()
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        self._confirm(pairs)
+
+    def _confirm(self, pairs: DataFrame) -> None:
+        """Keep the links among distinct pairs that were not tried before."""
+        close = written(pairs, "close-pairs")
         if close.isEmpty():
             forget(close)
             return
@@ -320,7 +412,7 @@ def _below(members: DataFrame, classes: DataFrame, share: float) -> DataFrame:
 
 def _with_leaders(members: DataFrame) -> DataFrame:
     """Members of nodes with at least two, with the node's leaders: its least members by
-    number and by two hashes of it."""
+    number and by hashes of it; in nodes of up to ``LEADERS`` members all lead."""
     mixed_ = [F.xxhash64("class", F.lit(i)) for i in range(1, LEADERS)]
     nodes = members.groupBy("node").agg(
         F.count(F.lit(1)).alias("n"), F.min("class").alias("leader_0"),
@@ -330,6 +422,7 @@ def _with_leaders(members: DataFrame) -> DataFrame:
     out = heavy_split(members, nodes, "node", "n", members.count())
     hit = [F.when(m == F.col(f"least_{i}"), F.col("class")) for i, m in enumerate(mixed_, 1)]
     is_leader = (F.col("class") == F.col("leader_0")) | F.coalesce(*hit).isNotNull()
+    is_leader = is_leader | (F.col("n") <= LEADERS)
     out = written(out.select("node", "class", "n", is_leader.alias("leads")), "tree-nodes")
     forget(nodes)
     return out
@@ -460,13 +553,9 @@ def _grow(
             forget(settled)
         join.compare(_to_leaders(members))
         join.relabel()
-        several = _open(join, members.filter("n > 2"))
-        small = several.filter("is_small").select("node", "class", "component")
-        other = small.select("node", F.col("class").alias("b"), F.col("component").alias("other"))
-        join.compare(
-            small.withColumnRenamed("class", "a").join(other, "node")
-            .filter("a < b AND component <> other").select("a", "b")
-        )
+        # Of smaller nodes all pairs were compared.
+        several = _open(join, members.filter(F.col("n") > LEADERS))
+        join.compare_nodes(several.filter("is_small").select("node", "class", "component"))
         large = several.filter("NOT is_small").select("node", "class")
         if large.isEmpty():
             below = None
@@ -495,7 +584,8 @@ def _open(join: _Join, members: DataFrame) -> DataFrame:
         F.sum("size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("joined")
     ).withColumn("pairs", (F.col("n") * F.col("n") - F.col("joined")) / 2)
     nodes = nodes.filter("pairs > 0").select(
-        "node", F.col("n").alias("size"), (F.col("pairs") <= OPEN_PAIRS * F.col("n")).alias("is_small")
+        "node", F.col("n").alias("size"),
+        ((F.col("pairs") <= OPEN_PAIRS) & (F.col("n") <= MEMBERS)).alias("is_small"),
     )
     rows = own.select("node", "class", "n", "leads", "component")
     out = written(heavy_split(rows, written(nodes, "open-nodes"), "node", "size", own.count()), "open")

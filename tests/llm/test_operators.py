@@ -361,3 +361,45 @@ def test_quality_on_held_out_texts(spark):
     assert sum(right) / len(right) > 0.95
     none = quality.train(table, labels.limit(0))
     assert none.weights[-1] == 0.0
+
+
+def test_close_pairs_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    for n in (2, 5, 40, 700):
+        classes = rng.permutation(10 * n)[:n].astype(np.int64)
+        parts = rng.integers(0, max(2, n // 3), n)
+        sizes = rng.integers(80, 110, n)
+        tokens = rng.integers(0, 2, (neardup.PLACES, n)).astype(np.int32)
+        got = set(zip(*(x.tolist() for x in neardup.close_pairs(classes, parts, sizes, tokens, 80, 36))))
+        want = set()
+        for i in range(n):
+            for j in range(i):
+                small, large = sorted((sizes[i], sizes[j]))
+                if parts[i] != parts[j] and 100 * small >= 80 * large:
+                    if (tokens[:, i] == tokens[:, j]).sum() >= 36:
+                        want.add((min(classes[i], classes[j]), max(classes[i], classes[j])))
+        assert got == want
+
+
+def test_a_group_of_one_template_equals_all_pairs(spark, monkeypatch):
+    """Texts that share most words without links between most of them, in one node."""
+    monkeypatch.setattr(neardup, "OPEN_PAIRS", 1 << 14)
+    rng, k = random.Random(6), 4
+    base = words(7, 200)
+    texts = []
+    for i in range(160):
+        own = list(base)
+        for at in rng.sample(range(0, 200, 5), rng.choice([3, 9, 9, 9])):
+            own[at] = f"own{i}x{at}"
+        texts.append(" ".join(own))
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, *texts), k=k).collect()}
+    sets = [{tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert got == dict(enumerate(label))
+    assert len(set(label)) > 20
