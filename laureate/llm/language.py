@@ -29,9 +29,9 @@ STATES, OWN, SHARED, ROUNDS = 8, 2047, 1024, 4
 #: Occurrences a word needs for a class of its own.
 LEAST_OWN = 3
 #: Bytes of text in a block, and tokens after which a long text is cut to run in parallel.
-BLOCK_BYTES, SEGMENT = 8 << 20, 2048
+BLOCK_BYTES, SEGMENT = 8 << 20, 8192
 #: Tokens of texts that are run through the recursions together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 20
 #: Blocks a task may have, and words a block may have, as powers of two.
 BLOCK_BITS, PLACE_BITS, CLASS_BITS = 10, 26, 12
 #: The end of a text as a word. No word holds a line feed.
@@ -198,7 +198,7 @@ class _Rows:
         ahead = start[self.order].copy()
         logs = np.zeros(len(ahead))
         last = np.empty_like(ahead)
-        kept = np.empty((len(self.tokens), ahead.shape[1])) if keep else None
+        kept = np.empty((len(self.tokens), ahead.shape[1]), ahead.dtype) if keep else None
         for t, n in enumerate(self.active):
             a, b = self.offset[t], self.offset[t + 1]
             now = ahead[:n] * model.emit[self.tokens[a:b]]
@@ -216,7 +216,7 @@ class _Rows:
         expected moves within the sequences. ``end``: weights of what follows each."""
         end = end[self.order]
         behind = np.empty_like(end)
-        moves = np.zeros_like(model.moves)
+        moves = np.zeros(model.moves.shape)
         done = 0
         for t in range(len(self.active) - 1, -1, -1):
             n, a, b = self.active[t], self.offset[t], self.offset[t + 1]
@@ -299,11 +299,17 @@ class _Texts:
         return self.logs
 
     def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts by state, moves by states and emissions by class and state."""
+        """Expected starts by state, moves by states and emissions by class and state.
+
+        Weights are scaled at every token, so single precision holds them; sums over
+        tokens are double.
+        """
         every = np.arange(len(self.size))
         rows = _Rows(self.classes, self.size)
-        last, _, kept = rows.forward(self.model, self.start[every], keep=True)
-        moves = rows.backward(self.model, kept, self.end)
+        single = [x.astype(np.float32) for x in (self.model.start, self.model.moves, self.model.emit)]
+        start, end = (x.astype(np.float32) for x in (self.start, self.end))
+        last, _, kept = rows.forward(Model(*single), start, keep=True)
+        moves = rows.backward(Model(*single), kept, end)
         heads = np.empty((len(every), kept.shape[1]))
         heads[rows.order] = kept[: len(every)]
         at = self.later
