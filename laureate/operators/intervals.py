@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from laureate.operators.dedup import keep_first
 from laureate.operators.lookup import left_lookup
-from laureate.operators.reuse import written_once
-
-#: Covered numbers up to which their table is broadcast.
-BROADCAST_POINTS = 100_000
 
 
 def covered_points(intervals: DataFrame, low: str, high: str, first: str) -> DataFrame:
@@ -31,21 +27,12 @@ def interval_lookup(
 ) -> DataFrame:
     """Add ``columns`` (new name to interval column) of the interval around ``point``.
 
-    A range join becomes a join on equal numbers: intervals of years cover few. Their
-    table is counted and broadcast up to ``BROADCAST_POINTS`` numbers; beyond, rows are
-    dealt by number and, for common numbers, by ``spread_by``. Numbers in no interval,
-    and NULL, get NULL.
+    A range join becomes a join on equal numbers: intervals of years cover few. Where
+    they cover many, rows of common numbers are dealt by ``spread_by``. Numbers in no
+    interval, and NULL, get NULL.
     """
-    found = written_once(
-        covered_points(intervals, low, high, first).select(
-            F.col("_point").alias("_point"),
-            *[F.col(c).alias(name) for name, c in columns.items()],
-        ),
-        "intervals",
+    found = covered_points(intervals, low, high, first).select(
+        "_point", *[F.col(c).alias(name) for name, c in columns.items()]
     )
     keyed = df.withColumn("_point", F.col(point))
-    if found.limit(BROADCAST_POINTS + 1).count() <= BROADCAST_POINTS:
-        return keyed.join(F.broadcast(found), "_point", "left").select(
-            *df.columns, *columns
-        )
     return left_lookup(keyed, found, ["_point"], spread_by).drop("_point")

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laureate.operators.reuse import written_once
+from laureate.operators.reuse import shared_folder, written_once
+
+#: Lookup rows up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 
 #: A slot holds about this part of a shuffle partition's fair share of the rows.
 SLOTS_PER_PARTITION = 16
@@ -22,6 +25,8 @@ def left_lookup(
 ) -> DataFrame:
     """Add the lookup's columns to ``left``; as in SQL, a NULL key matches nothing.
 
+    The lookup is written where the cluster has a shared folder, and counted. Up to
+    ``BROADCAST_ROWS`` rows it is broadcast. Beyond, rows are dealt evenly:
     ``weight`` names the lookup column that tells how many left rows have the
     key (the lookup then has one row per key); without it the left side is
     counted first. A key with more rows than a slot should hold gets slots in
@@ -30,13 +35,14 @@ def left_lookup(
     partition can be so heavy, whatever the data; they are told to the left side by
     broadcast. Rows with a NULL key choose among all hashes. All rows then pass one
     join on key and slot, in which no task gets much more than its share.
-
-    The lookup is read twice; where the cluster has a shared folder it is worked
-    out once and, being a table of known size then, broadcast when small enough.
     """
     keys = list(keys)
     lookup = written_once(lookup, "lookup")
     values = [c for c in lookup.columns if c not in keys and c != weight]
+    if shared_folder(left.sparkSession):
+        if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            small = F.broadcast(lookup.select(*keys, *values))
+            return left.join(small, keys, "left").select(*left.columns, *values)
     if weight is None:
         counts = written_once(
             left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows")), "key-counts"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from laureate import fixed, oracle
 from laureate.functions.numbers import mean
-from laureate.operators import intervals, keys, metrics, rank
+from laureate.operators import intervals, keys, lookup, metrics, rank
 from laureate.plans import champions, index_report, items, timeline
 from laureate.queries import QUERIES
 from laureate.schemas import ERA_TABLE
@@ -80,7 +80,7 @@ def eras(spark, *rows_):
 
 @pytest.mark.parametrize("most", [100_000, 3])
 def test_interval_lookup_equals_range_join(spark, monkeypatch, most):
-    monkeypatch.setattr(intervals, "BROADCAST_POINTS", most)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", most)
     table = eras(spark, (1990, 1995, "a", 2), (1994, 1999, "b", 1), (2003, 2003, "c", 3), (9, 8, "d", 4))
     df = spark.range(60).selectExpr("int(id) AS k", "int(1985 + id % 25) AS y").union(
         spark.createDataFrame([(99, None)], "k int, y int")
