@@ -31,7 +31,7 @@ LEAST_OWN = 3
 #: Bytes of text in a block, and tokens after which a long text is cut to run in parallel.
 BLOCK_BYTES, SEGMENT = 8 << 20, 8192
 #: Tokens of texts that are run through the recursions together.
-TOGETHER = 1 << 20
+TOGETHER = 3 << 19
 #: Blocks a task may have, and words a block may have, as powers of two.
 BLOCK_BITS, PLACE_BITS, CLASS_BITS = 10, 26, 12
 #: The end of a text as a word. No word holds a line feed.
