@@ -8,8 +8,9 @@ small nodes with a probability per tree that falls with the depth, and independe
 raise that to the target recall: the deeper nodes stay open, the more trees are grown
 for the classes in them. Every node is first compared with a few of its members, a node
 of few members with all. What is left to find in it are pairs from different components:
-if a task can compare their signatures it does, and only pairs that may be links become
-rows; else the node branches again. Every link is confirmed on the full sets.
+if a task can compare their sketches it does, and only pairs that may be links become
+rows; else the node branches again. Sketches of sets never differ in more bits than the
+sets in items, so no link is ruled out by them. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,10 @@ LEADERS = 8
 OPEN_PAIRS, MEMBERS = 1 << 21, 1 << 16
 #: Levels that a large node goes down before it is looked at again.
 LEVELS = 3
-#: A link's share of equal minwise tokens may lie this far below the similarity.
-SLACK = 0.25
+#: Bits of a set's parity sketch: at least four times its size, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 20
+#: Pairs compared at once.
+BLOCK = 1 << 20
 #: Probability that no tree brings a pair at the threshold together at some level.
 LOSS = 1e-4
 
@@ -59,8 +63,33 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
             yield found[np.concatenate([[True], found[1:] != found[:-1]])] if n else found
 
 
+def parity_sketch(items: np.ndarray) -> np.ndarray:
+    """A bit for each of some buckets, of whether an odd number of items falls there.
+
+    Items that two sets share cancel each other, so sketches of the same length differ in at
+    most as many bits as the sets differ in items. Half of a sketch over the other half is
+    the sketch of half its length.
+    """
+    bits = min(max(LEAST_BITS, 1 << int(4 * len(items) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, one a row, brought down to some words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _may_link(sizes_a, sizes_b, differing, percent: int):
+    """Whether sets of these sizes that differ in so many items, or more, may be linked."""
+    return (100 + percent) * differing <= (100 - percent) * (sizes_a + sizes_b)
+
+
 def _signatures(k: int):
-    """Size, digest and minwise tokens of each text's set."""
+    """Size, digest, minwise tokens and parity sketch of each text's set."""
     import hashlib
 
     seeds = mixed(np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -76,19 +105,22 @@ def _signatures(k: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            sizes, digests, tokens = [], [], []
+            sizes, digests, tokens, sketches = [], [], [], []
             for items in shingle_sets(part.column(1).to_pylist(), k):
                 sizes.append(len(items))
                 if len(items):
                     digests.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                     tokens.append(minwise(items))
+                    sketches.append(parity_sketch(items).tobytes())
                 else:
                     digests.append(None)
                     tokens.append(None)
+                    sketches.append(None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(tokens, pa.list_(pa.int32())), part.column(2)],
-                ["doc", "size", "digest", "tokens", "source"],
+                 pa.array(tokens, pa.list_(pa.int32())), pa.array(sketches, pa.binary()),
+                 part.column(2)],
+                ["doc", "size", "digest", "tokens", "sketch", "source"],
             )
 
     return run
@@ -127,7 +159,8 @@ def close_pairs(
     """Pairs of different parts whose sizes and signatures allow a link.
 
     ``tokens`` has a row per place. The largest part is not compared with itself, so a
-    group of linked texts costs no more than its pairs with others.
+    group of linked texts costs no more than its pairs with others. The join uses
+    ``linkable_pairs``, which needs sketches of the sets, passes fewer pairs and loses none.
     """
     names, part, many = np.unique(parts, return_inverse=True, return_counts=True)
     strangers = np.flatnonzero(part != many.argmax())
@@ -150,22 +183,94 @@ def close_pairs(
     return np.concatenate(left), np.concatenate(right)
 
 
-def _within_nodes(percent: int, least: int):
-    """``close_pairs`` of each node, whose rows follow one another."""
+def _by_words(sketches: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, their sketches as rows of words) of each length."""
+    words = pc.binary_length(sketches).to_numpy(zero_copy_only=False) // 8
+    for many in np.unique(words).tolist():
+        at = np.flatnonzero(words == many)
+        data = b"".join(sketches.take(pa.array(at)).to_pylist())
+        yield at, np.frombuffer(data, dtype=np.uint64).reshape(len(at), many)
+
+
+def linkable_pairs(
+    classes: np.ndarray, parts: np.ndarray, sizes: np.ndarray, sketches: pa.Array, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different parts whose sizes and sketches allow a link.
+
+    The largest part is not compared with itself, so a group of linked texts costs no more
+    than its pairs with others.
+    """
+    names, part, many = np.unique(parts, return_inverse=True, return_counts=True)
+    strange = part != many.argmax()
+    left, right = [], []
+
+    def compare(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> None:
+        step = max(1, BLOCK // max(1, len(j)))
+        for at in range(0, len(i) if len(j) else 0, step):
+            rows, own = i[at : at + step], x[at : at + step]
+            differing = np.zeros((len(rows), len(j)), dtype=np.int32)
+            for word in range(x.shape[1]):
+                differing += np.bitwise_count(own[:, word, None] ^ y[None, :, word])
+            a, b = np.nonzero(
+                _may_link(sizes[rows][:, None], sizes[j][None, :], differing, percent)
+                & (part[rows][:, None] != part[j][None, :])
+            )
+            small, large = np.minimum(sizes[rows[a]], sizes[j[b]]), np.maximum(sizes[rows[a]], sizes[j[b]])
+            fits = 100 * small >= percent * large
+            a, b = classes[rows[a[fits]]], classes[j[b[fits]]]
+            left.append(np.minimum(a, b))
+            right.append(np.maximum(a, b))
+
+    groups = list(_by_words(sketches))
+    for n, (i, x) in enumerate(groups):
+        words = x.shape[1]
+        for j, y in groups[n:]:
+            # Sets of so different sizes are not linked.
+            if 100 * sizes[i].max() < percent * sizes[j].min():
+                continue
+            y = _folded(y, words)
+            other = strange[j]
+            compare(i[strange[i]], x[strange[i]], j, y)
+            compare(i[~strange[i]], x[~strange[i]], j[other], y[other])
+    if not left:
+        return classes[:0], classes[:0]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _close(percent: int):
+    """Which pairs have sizes and sketches that allow a link."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sizes = [part.column(i).to_numpy() for i in (2, 3)]
+            keep = np.zeros(part.num_rows, dtype=bool)
+            for at, x in _by_words(part.column(4)):
+                for of, y in _by_words(part.column(5).take(pa.array(at))):
+                    words = min(x.shape[1], y.shape[1])
+                    differing = np.bitwise_count(_folded(x[of], words) ^ _folded(y, words))
+                    both = at[of]
+                    keep[both] = _may_link(
+                        sizes[0][both], sizes[1][both], differing.sum(1, dtype=np.int64), percent
+                    )
+            yield part.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
+def _within_nodes(percent: int):
+    """``linkable_pairs`` of each node, whose rows follow one another."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def settled(table_: pa.Table) -> pa.RecordBatch | None:
-            flat = table_["tokens"].combine_chunks().flatten().to_numpy()
-            tokens = flat.reshape(-1, PLACES)
+            sketches = table_["sketch"].combine_chunks()
             node, classes, component, sizes = (
                 table_[c].to_numpy() for c in ("node", "class", "component", "size")
             )
             edges = np.flatnonzero(np.diff(node, prepend=node[0] - 1, append=node[-1] - 1))
             found = [
-                close_pairs(classes[x:y], component[x:y], sizes[x:y],
-                            np.ascontiguousarray(tokens[x:y].T), percent, least)
+                linkable_pairs(classes[x:y], component[x:y], sizes[x:y], sketches[x:y], percent)
                 for x, y in zip(edges, edges[1:])
             ]
             a, b = (np.concatenate(side) for side in zip(*found))
@@ -196,7 +301,6 @@ class _Join:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
         self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
-        self.least = int((percent / 100 - SLACK) * PLACES)
         self.sets: DataFrame | None = None
         self.tried: DataFrame | None = None
         #: Links found since components were last worked out.
@@ -205,47 +309,39 @@ class _Join:
 
     def compare(self, pairs: DataFrame) -> None:
         """Test distinct pairs (a, b), a < b, and keep the links among them."""
-        pairs = pairs.distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        sketch = self.classes.select("class", "size", "tokens")
+        sketch = self.classes.select("class", "size", "sketch")
         sides = [
             sketch.select(F.col("class").alias(s), F.col("size").alias(f"size_{s}"),
-                          F.col("tokens").alias(f"tokens_{s}"))
+                          F.col("sketch").alias(f"sketch_{s}"))
             for s in ("a", "b")
         ]
-        equal = F.aggregate(
-            F.zip_with("tokens_a", "tokens_b", lambda x, y: F.when(x == y, 1).otherwise(0)),
-            F.lit(0), lambda s, x: s + x,
-        )
         small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-        self._confirm(
-            pairs.join(sides[0], "a").join(sides[1], "b")
+        both = (
+            pairs.distinct().join(sides[0], "a").join(sides[1], "b")
             .filter(100 * small >= self.percent * large)
-            .filter(equal >= self.least)
-            .select("a", "b")
+            .select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
         )
+        self._confirm(both.mapInArrow(_close(self.percent), "a bigint, b bigint"))
 
     def compare_nodes(self, members: DataFrame) -> None:
         """Compare all members of small nodes that are of different components.
 
         ``members`` has node, class and component. Nodes lie whole in a task; of a node's
-        pairs only those become rows whose signatures say that they may be links.
+        pairs only those become rows whose sketches say that they may be links.
         """
-        rows = members.join(self.classes.select("class", "size", "tokens"), "class")
+        rows = members.join(self.classes.select("class", "size", "sketch"), "class")
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = (
-            rows.select("node", "class", "component", "size", "tokens")
+            rows.select("node", "class", "component", "size", "sketch")
             .repartition(parts, "node").sortWithinPartitions("node")
         )
-        pairs = rows.mapInArrow(_within_nodes(self.percent, self.least), "a bigint, b bigint")
-        pairs = pairs.distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        self._confirm(pairs)
+        pairs = rows.mapInArrow(_within_nodes(self.percent), "a bigint, b bigint")
+        self._confirm(pairs.distinct())
 
     def _confirm(self, pairs: DataFrame) -> None:
-        """Keep the links among distinct pairs that were not tried before."""
+        """Keep the links among distinct pairs, of which those tried before are known."""
+        if self.tried is not None:
+            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         close = written(pairs, "close-pairs")
         if close.isEmpty():
             forget(close)
@@ -470,7 +566,7 @@ def near_duplicates(
         texts.mapInArrow(
             _signatures(k),
             schema(doc=texts.schema["doc"].dataType, size="bigint", digest="binary",
-                   tokens="array<int>", source="binary"),
+                   tokens="array<int>", sketch="binary", source="binary"),
         ),
         "signatures",
     )
@@ -479,7 +575,7 @@ def near_duplicates(
         signed.filter("size > 0").groupBy("digest")
         .agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"),
              F.first("size").alias("size"), F.first("tokens").alias("tokens"),
-             F.first("source").alias("source"))
+             F.first("sketch").alias("sketch"), F.first("source").alias("source"))
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -403,3 +404,63 @@ def test_a_group_of_one_template_equals_all_pairs(spark, monkeypatch):
                 label = [low if x == high else x for x in label]
     assert got == dict(enumerate(label))
     assert len(set(label)) > 20
+
+
+def _template_texts(rng: random.Random, n: int, length: int, changed: list[int]) -> list[str]:
+    base = words(11, length)
+    texts = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(0, length, 5), rng.choice(changed)):
+            own[at] = f"own{i}x{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_sketches_rule_out_no_link(spark):
+    rng, percent = random.Random(12), 80
+    texts = [t for n in (40, 150, 400) for t in _template_texts(rng, 30, n, [0, 1, n // 50, n // 25])]
+    sets = list(neardup.shingle_sets(texts, 4))
+    classes = np.arange(len(sets)) * 7
+    parts = np.array([rng.choice([0, 0, i]) for i in range(len(sets))])
+    sizes = np.array([len(x) for x in sets])
+    sketches = pa.array([neardup.parity_sketch(x).tobytes() for x in sets])
+    got = set(zip(*(x.tolist() for x in neardup.linkable_pairs(classes, parts, sizes, sketches, percent))))
+    assert len({len(x.as_py()) for x in sketches}) > 1
+    links = others = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            union = sizes[i] + sizes[j] - common
+            pair = (int(classes[j]), int(classes[i]))
+            if parts[i] == parts[j]:
+                assert pair not in got
+            elif 100 * common >= percent * union:
+                assert pair in got
+                links += 1
+            else:
+                others += pair in got and 100 * common < (percent - 5) * union
+    assert links > 50 and others == 0
+    pairs = spark.createDataFrame(
+        [(int(classes[i]), int(classes[j]), int(sizes[i]), int(sizes[j]),
+          bytearray(sketches[i].as_py()), bytearray(sketches[j].as_py()))
+         for i in range(len(sets)) for j in range(i) if parts[i] != parts[j]],
+        "a bigint, b bigint, size_a bigint, size_b bigint, sketch_a binary, sketch_b binary",
+    ).repartition(3).filter("5 * least(size_a, size_b) >= 4 * greatest(size_a, size_b)")
+    close = pairs.mapInArrow(neardup._close(percent), "a bigint, b bigint").collect()
+    assert {(r.b, r.a) for r in close} == got
+
+
+def test_texts_alike_below_the_threshold_make_no_pairs(spark, monkeypatch):
+    """Rows of pairs must not grow with the square of a group without links."""
+    texts, asked = _template_texts(random.Random(13), 120, 300, [8, 9, 10]), []
+    load = neardup._Join._load
+
+    def watched(join, pairs):
+        asked.append(pairs.count())
+        load(join, pairs)
+
+    monkeypatch.setattr(neardup._Join, "_load", watched)
+    got = near_duplicates(docs(spark, *texts), k=4).collect()
+    assert all(r.kept for r in got) and len(got) == 120
+    assert sum(asked) < 120
