@@ -308,17 +308,15 @@ class _Join:
         self.labels: DataFrame | None = None
 
     def compare(self, pairs: DataFrame) -> None:
-        """Test distinct pairs (a, b), a < b, and keep the links among them."""
+        """Test pairs (a, b), a < b, of sizes that allow a link, and keep the links."""
         sketch = self.classes.select("class", "size", "sketch")
         sides = [
             sketch.select(F.col("class").alias(s), F.col("size").alias(f"size_{s}"),
                           F.col("sketch").alias(f"sketch_{s}"))
             for s in ("a", "b")
         ]
-        small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
         both = (
             pairs.distinct().join(sides[0], "a").join(sides[1], "b")
-            .filter(100 * small >= self.percent * large)
             .select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
         )
         self._confirm(both.mapInArrow(_close(self.percent), "a bigint, b bigint"))
@@ -519,23 +517,26 @@ def _with_leaders(members: DataFrame) -> DataFrame:
     hit = [F.when(m == F.col(f"least_{i}"), F.col("class")) for i, m in enumerate(mixed_, 1)]
     is_leader = (F.col("class") == F.col("leader_0")) | F.coalesce(*hit).isNotNull()
     is_leader = is_leader | (F.col("n") <= LEADERS)
-    out = written(out.select("node", "class", "n", is_leader.alias("leads")), "tree-nodes")
+    out = written(out.select("node", "class", "size", "n", is_leader.alias("leads")), "tree-nodes")
     forget(nodes)
     return out
 
 
-def _to_leaders(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a leader and another member of its node."""
+def _to_leaders(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a leader and another member of its node, of sizes that allow a link."""
     leaders = members.filter("leads").groupBy("node").agg(
-        F.max("n").alias("n"), F.collect_set("class").alias("leaders")
+        F.max("n").alias("n"), F.collect_set(F.struct("class", "size")).alias("leaders")
     )
     joined = heavy_split(
-        members.select("node", "class"), written(leaders, "leaders"), "node", "n", members.count()
+        members.select("node", "class", "size"), written(leaders, "leaders"), "node", "n",
+        members.count(),
     )
+    small, large = F.least("size", "leader.size"), F.greatest("size", "leader.size")
+    leader = F.col("leader.class")
     return (
-        joined.select("class", F.explode("leaders").alias("leader"))
-        .filter("class <> leader")
-        .select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
+        joined.select("class", "size", F.explode("leaders").alias("leader"))
+        .filter((F.col("class") != leader) & (100 * small >= percent * large))
+        .select(F.least("class", leader).alias("a"), F.greatest("class", leader).alias("b"))
     )
 
 
@@ -641,13 +642,13 @@ def _grow(
     """
     below, level = written(nodes, "members"), 1
     while below is not None:
-        members = _with_leaders(below)
+        members = _with_leaders(below.join(classes.select("class", "size"), "class"))
         forget(below)
         if join.labels is not None:
             settled = members
             members = _open(join, members)
             forget(settled)
-        join.compare(_to_leaders(members))
+        join.compare(_to_leaders(members, join.percent))
         join.relabel()
         # Of smaller nodes all pairs were compared.
         several = _open(join, members.filter(F.col("n") > LEADERS))
@@ -673,18 +674,18 @@ def _grow(
 
 def _open(join: _Join, members: DataFrame) -> DataFrame:
     """Members of the nodes that span several components, and whether those are small."""
-    plain = members.select("node", "class", "n", "leads")
+    plain = members.select("node", "class", "size", "n", "leads")
     own = written(join.labelled(plain), "labelled")
     parts = own.groupBy("node", "component").agg(F.count(F.lit(1)).cast("double").alias("size"))
     nodes = parts.groupBy("node").agg(
         F.sum("size").alias("n"), F.sum(F.col("size") * F.col("size")).alias("joined")
     ).withColumn("pairs", (F.col("n") * F.col("n") - F.col("joined")) / 2)
     nodes = nodes.filter("pairs > 0").select(
-        "node", F.col("n").alias("size"),
+        "node", F.col("n").alias("members"),
         ((F.col("pairs") <= OPEN_PAIRS) & (F.col("n") <= MEMBERS)).alias("is_small"),
     )
-    rows = own.select("node", "class", "n", "leads", "component")
-    out = written(heavy_split(rows, written(nodes, "open-nodes"), "node", "size", own.count()), "open")
+    rows = own.select("node", "class", "size", "n", "leads", "component")
+    out = written(heavy_split(rows, written(nodes, "open-nodes"), "node", "members", own.count()), "open")
     forget(own)
     return out
 
