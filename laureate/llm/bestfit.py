@@ -15,12 +15,12 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laureate.llm.common import column, row_numbers, schema, small_batches, table, written
 from laureate.operators.order import numbered
@@ -202,12 +202,26 @@ class Plan:
 #: White space and a word of Latin letters, or all up to the next white space.
 _CHUNK = re.compile(r"\s*(?:[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[\s.,;:!?]|$)|\S+)|\s+")
 #: White space to Python only: a tokenizer may not part words there.
-_UNSURE = re.compile("[\x1c-\x1f]")
+_UNSURE = "\x1c\x1d\x1e\x1f"
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: Characters tokenised at once, and chunks whose ids a worker remembers.
 _STRETCH, _REMEMBERED = 1 << 20, 1 << 20
 
 
+class _Numbers(dict):
+    """Numbers of chunks in the order in which they were first asked for; ``new`` are
+    those whose ids nobody has looked up yet."""
+
+    def __init__(self, names: list[str]):
+        super().__init__((name, i) for i, name in enumerate(names))
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        self.new.append(chunk)
+        return number
+
+
 class Tokens:
     """Ids of texts by a byte-level tokenizer, which sees each new chunk once.
 
@@ -227,7 +241,7 @@ class Tokens:
         self.bytes = np.zeros(max(pieces.values()) + 1, dtype=np.int64)
         for text, i in pieces.items():
             self.bytes[i] = len(text)
-        self.known: dict[str, int] = {}
+        self.known = _Numbers([])
         self.ids = np.empty(0, dtype=np.int32)
         self.starts = np.zeros(1, dtype=np.int64)
         self.used = np.zeros(0, dtype=np.int64)
@@ -240,7 +254,7 @@ class Tokens:
         kept = np.flatnonzero(self.used >= least)
         names = list(self.known)
         ids = [self.ids[self.starts[i] : self.starts[i + 1]] for i in kept]
-        self.known = {names[i]: n for n, i in enumerate(kept)}
+        self.known = _Numbers([names[i] for i in kept])
         self.ids = np.concatenate([*ids, np.empty(0, dtype=np.int32)])
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
         self.used = self.used[kept] // 2
@@ -249,34 +263,40 @@ class Tokens:
         found = self.model.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, dtype=np.int32)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self) -> None:
+        """Look up the ids of new chunks; should that fail, they stay new."""
+        new = self.known.new
         # Chunks that begin with white space and hold more can stand side by side.
-        alone = [c for c in chunks if c[0] not in " \n" or c.isspace()]
-        apart = [self._plain(c) for c in alone]
-        joined = list(set(chunks).difference(alone))
+        alone = [c[0] not in " \n" or c.isspace() for c in new]
+        joined = [c for c, x in zip(new, alone) if not x]
         ids = self._plain("".join(joined))
         ends = np.cumsum([len(c.encode()) for c in joined], dtype=np.int64)
-        sizes = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0)
-        sizes = np.concatenate([sizes, np.array([len(x) for x in apart], dtype=np.int64)])
-        for chunk in [*joined, *alone]:
-            self.known[chunk] = len(self.known)
-        self.ids = np.concatenate([self.ids, ids, *apart])
+        edges = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+        apart = [self._plain(c) for c, x in zip(new, alone) if x]
+        # Ids come in the order of the numbers: those before each chunk that stands alone.
+        sizes = np.zeros(len(new), dtype=np.int64)
+        is_alone = np.array(alone, dtype=bool)
+        sizes[~is_alone] = np.diff(edges, prepend=0)
+        sizes[is_alone] = [len(x) for x in apart]
+        owner = np.repeat(is_alone, sizes)
+        flat = np.empty(len(owner), dtype=np.int32)
+        flat[~owner] = ids
+        flat[owner] = np.concatenate([*apart, ids[:0]])
+        self.ids = np.concatenate([self.ids, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.used = np.concatenate([self.used, np.zeros(len(chunks), dtype=np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
+        self.known.new = []
 
     def _together(self, stretches: list[str]) -> list[np.ndarray]:
         """The ids of some stretches of texts."""
-        found = [[] if _UNSURE.search(s) else _CHUNK.findall(s) for s in stretches]
+        found = [[] if any(c in s for c in _UNSURE) else _CHUNK.findall(s) for s in stretches]
         sizes = [len(x) for x in found]
         chunks = [c for x in found for c in x]
-        if len(self.known) > _REMEMBERED:
+        if len(self.known) > _REMEMBERED and not self.known.new:
             self._forget()
-        each = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-        unknown = np.flatnonzero(each < 0)
-        if len(unknown):
-            new = [chunks[i] for i in unknown]
-            self._learn(list(dict.fromkeys(new)))
-            each[unknown] = [self.known[c] for c in new]
+        each = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        if self.known.new:
+            self._learn()
         self.used += np.bincount(each, minlength=len(self.used))
         starts = self.starts[each]
         many = self.starts[each + 1] - starts
@@ -348,10 +368,17 @@ def cuts(n: int, longest: int) -> list[int]:
     return [0, *range(n % longest or longest, n, longest)]
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def unpacked(ids: pa.Array) -> pa.Array:
+    """Ids from their bytes."""
+    return pa.array([np.frombuffer(x.as_py(), dtype="<i4") for x in ids], pa.list_(pa.int32()))
+
+
 def pieces(docs: DataFrame, tokenizer: str, text: str = "text", longest: int = LONGEST) -> DataFrame:
     """One row per piece: its row's number, columns, place and token ids.
 
-    The ids of a text (null: none) are followed by ``END``.
+    The ids of a text (null: none) are followed by ``END``. They come as little-endian
+    bytes, which Spark moves and writes as a whole, not id by id; ``unpacked`` lists them.
     """
     kept = [c for c in docs.columns if c != text]
     source = docs.select(
@@ -364,38 +391,38 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", longest: int = L
         tokens, numbers = _tokens(tokenizer), row_numbers()
         names = ["row", "doc", "piece", "start", "length", "ids", "ids_crc32"]
         for batch in batches:
-            rows, ids, size = [], [], 0
+            rows, ids, lengths, size = [], [], [], 0
 
             def out() -> pa.RecordBatch:
                 take, row, piece, start = zip(*rows)
                 return pa.RecordBatch.from_arrays(
                     [pa.array(row, pa.int64()), batch.column(1).take(pa.array(take)),
                      pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array(ids, pa.list_(pa.int32())),
-                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())],
+                     pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()),
+                     pa.array([zlib.crc32(x) for x in ids], pa.int64())],
                     names,
                 )
 
             texts = (value.as_py() or "" for value in batch.column(0))
             for i, found in enumerate(tokens.of(texts)):
-                found = np.append(found, np.int32(END))
+                found = np.append(found, np.int32(END)).astype("<i4")
                 row = next(numbers)
                 starts = cuts(len(found), longest)
                 for piece, (a, b) in enumerate(zip(starts, [*starts[1:], len(found)])):
                     rows.append((i, row, piece, a))
-                    ids.append(found[a:b])
+                    ids.append(found[a:b].tobytes())
+                    lengths.append(b - a)
                     size += b - a
                     if size > 1 << 20:
                         yield out()
-                        rows, ids, size = [], [], 0
+                        rows, ids, lengths, size = [], [], [], 0
             if rows:
                 yield out()
 
     return source.mapInArrow(
         cut,
         schema(row="bigint", doc=source.schema["doc"].dataType, piece="int", start="bigint",
-               length="bigint", ids="array<int>", ids_crc32="bigint"),
+               length="bigint", ids="binary", ids_crc32="bigint"),
     )
 
 
@@ -441,7 +468,8 @@ def pack_best_fit(
         assign, schema(row="bigint", piece="int", sequence_id="bigint", offset="bigint")
     )
     return cut.join(found, ["row", "piece"]).select(
-        *[F.col("doc").getField(c).alias(c) for c in kept], *ADDED
+        *[F.col("doc").getField(c).alias(c) for c in kept],
+        *[unpacked(c).alias(c) if c == "ids" else c for c in ADDED],
     )
 
 
