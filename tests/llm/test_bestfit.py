@@ -195,3 +195,30 @@ def test_query_reads_all_documents(spark):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 1
 
 
+
+
+def test_chunks_whose_lookup_failed_stay_new(monkeypatch):
+    plain, tokens = Tokenizer.from_file(TOKENIZER), bestfit.Tokens(TOKENIZER)
+    texts = ["one two, two", ", one\nthree", "", "four one"]
+    lookup = bestfit.Tokens._plain
+
+    def failing(self, text):
+        raise ValueError(text)
+
+    monkeypatch.setattr(bestfit.Tokens, "_plain", failing)
+    with pytest.raises(ValueError):
+        list(tokens.of(texts[:1]))
+    assert tokens.known.new == ["one", " two", ","]
+    monkeypatch.setattr(bestfit.Tokens, "_plain", lookup)
+    for text, ids in zip(texts, tokens.of(texts)):
+        assert list(ids) == plain.encode(text, add_special_tokens=False).ids
+    assert not tokens.known.new
+
+
+def test_pieces_move_as_bytes(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id bigint, text string")
+    cut = bestfit.pieces(docs, TOKENIZER)
+    assert cut.schema["ids"].dataType.typeName() == "binary"
+    got = cut.select("doc.doc_id", "length", bestfit.unpacked("ids").alias("ids")).collect()
+    want = Tokenizer.from_file(TOKENIZER).encode("one two three").ids + [0]
+    assert sorted(tuple(r) for r in got) == [(1, len(want), want), (2, 1, [0])]
