@@ -31,13 +31,15 @@ from laureate.llm.common import (
 
 #: Minwise tokens of a signature and independent trees.
 PLACES, TREES = 64, 16
-#: Trees grown before all others, whose nodes are mostly settled by what these find.
+#: Trees whose nodes are compared with leaders before all others, which mostly settles those.
 FIRST_TREES = 2
 #: Members that a whole node is compared with.
 LEADERS = 8
 #: A node is small if one task can compare it: so many pairs between components, and
 #: members, of 260 bytes each.
-OPEN_PAIRS, MEMBERS = 1 << 21, 1 << 16
+OPEN_PAIRS, MEMBERS = 1 << 23, 1 << 16
+#: Nodes that a member knows of, so that pairs which meet again are not told again.
+NODES = 64
 #: Levels that a large node goes down before it is looked at again.
 LEVELS = 3
 #: Bits of a set's parity sketch: at least four times its size, within these bounds.
@@ -257,24 +259,53 @@ def _close(percent: int):
     return run
 
 
+def _meet_first(
+    node: np.ndarray, a: np.ndarray, b: np.ndarray, flat: np.ndarray, starts: np.ndarray
+) -> np.ndarray:
+    """Whether pairs of rows share no lesser node than the one in which they meet.
+
+    Row i knows of the nodes ``flat[starts[i] : starts[i + 1]]``, in order.
+    """
+    names, rank = np.unique(flat, return_inverse=True)
+    many = np.diff(starts)
+    held = np.repeat(np.arange(len(node)), many) * len(names) + rank
+    first = np.ones(len(a), dtype=bool)
+    for at in range(0, len(a), 1 << 14):
+        x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+        pair = np.repeat(np.arange(len(x)), many[x])
+        place = np.arange(len(pair)) + np.repeat(starts[x] - np.cumsum(many[x]) + many[x], many[x])
+        lesser = flat[place] < node[x][pair]
+        pair, other = pair[lesser], rank[place[lesser]]
+        wanted = y[pair] * len(names) + other
+        again = held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted
+        first[at + pair[again]] = False
+    return first
+
+
 def _within_nodes(percent: int):
-    """``linkable_pairs`` of each node, whose rows follow one another."""
+    """``linkable_pairs`` of each node, whose rows follow one another.
+
+    A pair is told in the least node that both members know of, not wherever they meet.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def settled(table_: pa.Table) -> pa.RecordBatch | None:
-            sketches = table_["sketch"].combine_chunks()
+            sketches, nodes = (table_[c].combine_chunks() for c in ("sketch", "nodes"))
             node, classes, component, sizes = (
                 table_[c].to_numpy() for c in ("node", "class", "component", "size")
             )
             edges = np.flatnonzero(np.diff(node, prepend=node[0] - 1, append=node[-1] - 1))
             found = [
-                linkable_pairs(classes[x:y], component[x:y], sizes[x:y], sketches[x:y], percent)
+                linkable_pairs(np.arange(x, y), component[x:y], sizes[x:y], sketches[x:y], percent)
                 for x, y in zip(edges, edges[1:])
             ]
             a, b = (np.concatenate(side) for side in zip(*found))
-            pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.stack([a, b])
+            starts = nodes.offsets.to_numpy().astype(np.int64)
+            first = _meet_first(node, a, b, nodes.values.to_numpy(), starts)
+            a, b = classes[a[first]], classes[b[first]]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
         for part in parts:
@@ -301,7 +332,6 @@ class _Join:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, percent: int):
         self.docs, self.classes, self.k, self.percent = docs, classes, k, percent
-        self.sets: DataFrame | None = None
         self.tried: DataFrame | None = None
         #: Links found since components were last worked out.
         self.fresh: DataFrame | None = None
@@ -327,10 +357,15 @@ class _Join:
         ``members`` has node, class and component. Nodes lie whole in a task; of a node's
         pairs only those become rows whose sketches say that they may be links.
         """
-        rows = members.join(self.classes.select("class", "size", "sketch"), "class")
+        own = members.groupBy("class").agg(
+            F.first("component").alias("component"),
+            F.sort_array(F.collect_list("node")).alias("nodes"),
+        )
+        rows = own.join(self.classes.select("class", "size", "sketch"), "class")
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = (
-            rows.select("node", "class", "component", "size", "sketch")
+            rows.select(F.explode("nodes").alias("node"), "class", "component", "size", "sketch",
+                        F.slice("nodes", 1, NODES).alias("nodes"))
             .repartition(parts, "node").sortWithinPartitions("node")
         )
         pairs = rows.mapInArrow(_within_nodes(self.percent), "a bigint, b bigint")
@@ -344,11 +379,12 @@ class _Join:
         if close.isEmpty():
             forget(close)
             return
-        self._load(close)
-        a = self.sets.select(F.col("class").alias("a"), F.col("items").alias("items_a"))
-        b = self.sets.select(F.col("class").alias("b"), F.col("items").alias("items_b"))
+        sets = self._load(close)
+        a = sets.select(F.col("class").alias("a"), F.col("items").alias("items_a"))
+        b = sets.select(F.col("class").alias("b"), F.col("items").alias("items_b"))
         full = close.join(a, "a").join(b, "b").select("a", "b", "items_a", "items_b")
         found = written(full.mapInArrow(_linked(self.percent), "a bigint, b bigint"), "links")
+        forget(sets)
         self.tried = _more(self.tried, close, "tried")
         if found.isEmpty():
             forget(found)
@@ -394,15 +430,11 @@ class _Join:
         )
         forget(old, between, found, sized)
 
-    def _load(self, pairs: DataFrame) -> None:
-        """Full sets of the classes in ``pairs`` that are not loaded yet."""
+    def _load(self, pairs: DataFrame) -> DataFrame:
+        """Full sets of the classes in ``pairs``. They are not kept: later pairs are few and
+        mostly of other classes."""
         asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            asked = asked.join(self.sets.select("class"), "class", "left_anti")
         asked = written(asked.join(self.classes.select("class", "source"), "class"), "asked")
-        if asked.isEmpty():
-            forget(asked)
-            return
         mask = bit_filter(asked.select(F.xxhash64("source").alias("h")), "h")
         texts = self.docs.select("text", "source", F.xxhash64("source").alias("h"))
         texts = filtered(texts, "h", mask).dropDuplicates(["source"])
@@ -410,7 +442,9 @@ class _Join:
             texts.join(asked, "source").select("class", "text")
             .mapInArrow(_sets(self.k), "class bigint, items binary")
         )
-        self.sets = _more(self.sets, own, "sets")
+        sets = written(own, "sets")
+        forget(asked)
+        return sets
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """``members`` with the component of each class: itself if it has no link."""
@@ -435,10 +469,17 @@ def components(links: DataFrame) -> DataFrame:
     is written, so lineage stays short.
     """
     edges = written(links.select("a", "b").distinct(), "edges")
-    while not _stars(edges):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+        least = both.groupBy("a").agg(
+            F.min("b").alias("least"), F.count(F.lit(1)).alias("n"),
+            F.count(F.when(F.col("b") < F.col("a"), 1)).alias("lesser"),
+        )
         least = written(least.withColumn("least", F.least("least", "a")), "least")
+        # In stars, every node has greater neighbours only or a single one, a lesser.
+        if least.filter("lesser > 1 OR lesser = 1 AND n > 1").isEmpty():
+            forget(edges)
+            return least.select(F.col("a").alias("class"), F.col("least").alias("component"))
         # Large star: neighbours beyond a node move to the least of its neighbourhood.
         total = 2 * edges.count()
         large = written(
@@ -457,19 +498,6 @@ def components(links: DataFrame) -> DataFrame:
         )
         forget(edges, least, large, low)
         edges = small
-    labels = edges.select(F.col("b").alias("class"), F.col("a").alias("component"))
-    roots = edges.select(F.col("a").alias("class"), F.col("a").alias("component")).distinct()
-    out = written(labels.unionByName(roots).distinct(), "components")
-    forget(edges)
-    return out
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Every edge leads from a node without lesser neighbours to one without others."""
-    leaves = edges.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    if not leaves.filter("n > 1").isEmpty():
-        return False
-    return edges.join(leaves.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
 
 
 def _chosen(node: Column, share: float) -> Column:
@@ -481,62 +509,68 @@ def _chosen(node: Column, share: float) -> Column:
     )
 
 
-def _children(members: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """(node, class) one level down."""
-    chosen = members.select("node", "class", _chosen(F.col("node"), share).alias("places"))
-    return (
-        chosen.join(classes.select("class", "tokens"), "class")
-        .select("node", "class", "tokens", F.explode("places").alias("place"))
-        .select(F.xxhash64("node", "place", F.get("tokens", "place")).alias("node"), "class")
+def _children(some: DataFrame, trees: range, share: float) -> DataFrame:
+    """Nodes of classes below the roots of some trees. The classes bring their tokens, and no
+    two rows are alike, so none has to move."""
+    roots = some.sparkSession.range(trees.start, trees.stop, 1, 1).select(
+        F.xxhash64(F.lit("root"), F.col("id").cast("int")).alias("root")
     )
+    places = roots.select("root", F.explode(_chosen(F.col("root"), share)).alias("place"))
+    node = F.xxhash64("root", "place", F.get("tokens", "place")).alias("node")
+    kept = [c for c in some.columns if c != "tokens"]
+    return some.crossJoin(F.broadcast(places)).select(node, *kept)
 
 
 def _below(members: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """(node, class) some levels down: tokens travel along instead of being joined anew."""
-    rows = members.join(classes.select("class", "tokens"), "class")
+    """Nodes of classes some levels down: tokens travel along instead of being joined anew."""
+    rows = members.select("node", "class").join(classes, "class")
     for _ in range(LEVELS):
         rows = rows.select(
-            "class", "tokens", "node", F.explode(_chosen(F.col("node"), share)).alias("place")
+            *classes.columns, "node", F.explode(_chosen(F.col("node"), share)).alias("place")
         ).select(
-            "class", "tokens",
-            F.xxhash64("node", "place", F.get("tokens", "place")).alias("node"),
+            *classes.columns, F.xxhash64("node", "place", F.get("tokens", "place")).alias("node")
         )
-    return rows.select("node", "class").distinct()
+    return rows.select("node", *[c for c in classes.columns if c != "tokens"])
 
 
-def _with_leaders(members: DataFrame) -> DataFrame:
-    """Members of nodes with at least two, with the node's leaders: its least members by
-    number and by hashes of it; in nodes of up to ``LEADERS`` members all lead."""
-    mixed_ = [F.xxhash64("class", F.lit(i)) for i in range(1, LEADERS)]
-    nodes = members.groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), F.min("class").alias("leader_0"),
-        *[F.min(m).alias(f"least_{i}") for i, m in enumerate(mixed_, 1)],
-    ).filter("n > 1")
+def _shared(members: DataFrame) -> DataFrame:
+    """Members of nodes with at least two, with their number ``n``."""
+    nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     nodes = written(nodes, "nodes")
-    out = heavy_split(members, nodes, "node", "n", members.count())
-    hit = [F.when(m == F.col(f"least_{i}"), F.col("class")) for i, m in enumerate(mixed_, 1)]
-    is_leader = (F.col("class") == F.col("leader_0")) | F.coalesce(*hit).isNotNull()
-    is_leader = is_leader | (F.col("n") <= LEADERS)
-    out = written(out.select("node", "class", "size", "n", is_leader.alias("leads")), "tree-nodes")
+    out = written(heavy_split(members, nodes, "node", "n", members.count()), "tree-nodes")
     forget(nodes)
     return out
 
 
 def _to_leaders(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a leader and another member of its node, of sizes that allow a link."""
-    leaders = members.filter("leads").groupBy("node").agg(
-        F.max("n").alias("n"), F.collect_set(F.struct("class", "size")).alias("leaders")
+    """Pairs (a, b) of a leader and another member of its node, of sizes that allow a link.
+
+    Its least members by number and by hashes of it lead a node; in nodes of up to
+    ``LEADERS`` members all lead.
+    """
+    member = F.struct("class", "size")
+    few = members.filter(F.col("n") <= LEADERS).groupBy("node").agg(
+        F.collect_list(member).alias("leaders")
+    ).select("leaders", F.explode("leaders").alias("member"))
+    many = members.filter(F.col("n") > LEADERS)
+    least = [F.min(member)] + [
+        F.min(F.struct(F.xxhash64("class", F.lit(i)).alias("hash"), member.alias("member")))["member"]
+        for i in range(1, LEADERS)
+    ]
+    leaders = many.groupBy("node").agg(
+        F.max("n").alias("n"), F.array_distinct(F.array(*least)).alias("leaders")
     )
-    joined = heavy_split(
-        members.select("node", "class", "size"), written(leaders, "leaders"), "node", "n",
-        members.count(),
+    many = heavy_split(
+        many.select("node", member.alias("member")), written(leaders, "leaders"), "node", "n",
+        many.count(),
     )
-    small, large = F.least("size", "leader.size"), F.greatest("size", "leader.size")
-    leader = F.col("leader.class")
+    small, large = F.least("member.size", "leader.size"), F.greatest("member.size", "leader.size")
+    pair = [F.col("member.class"), F.col("leader.class")]
     return (
-        joined.select("class", "size", F.explode("leaders").alias("leader"))
-        .filter((F.col("class") != leader) & (100 * small >= percent * large))
-        .select(F.least("class", leader).alias("a"), F.greatest("class", leader).alias("b"))
+        few.select("leaders", "member").unionByName(many.select("leaders", "member"))
+        .select("member", F.explode("leaders").alias("leader"))
+        .filter((pair[0] != pair[1]) & (100 * small >= percent * large))
+        .select(F.least(*pair).alias("a"), F.greatest(*pair).alias("b"))
     )
 
 
@@ -581,14 +615,15 @@ def near_duplicates(
         "classes",
     )
     join = _Join(texts, classes, k, percent)
-    share = 100 / percent / PLACES
-    for some in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
-        if some:
-            roots = F.array(*[F.xxhash64(F.lit("root"), F.lit(i)) for i in some])
-            start = classes.select(F.explode(roots).alias("node"), "class")
-            # What the first trees lose is left to the others.
-            further = some if some.stop == trees else None
-            _grow(join, _children(start, classes, share).distinct(), classes, share, further)
+    signatures, share = classes.select("class", "size", "tokens"), 100 / percent / PLACES
+    if trees > FIRST_TREES:
+        # Leaders of the first trees' nodes settle most nodes of all trees.
+        start = written(_children(signatures, range(FIRST_TREES), share), "members")
+        first = _shared(start)
+        join.compare(_to_leaders(first, percent))
+        join.relabel()
+        forget(start, first)
+    _grow(join, _children(signatures, range(trees), share), signatures, share, trees)
     return _result(signed, classes, join, docs, doc_id)
 
 
@@ -616,33 +651,29 @@ def trees_for(level: int, share: float, percent: int) -> int:
 
 
 def _rooted(some: DataFrame, trees: range, classes: DataFrame, share: float, level: int) -> DataFrame:
-    """(node, class) at a level of new trees over some classes."""
-    roots = F.array(*[F.xxhash64(F.lit("root"), F.lit(i)) for i in trees])
-    start = some.select(F.explode(roots).alias("node"), "class")
-    rows = written(_children(start, classes, share).distinct(), "further")
+    """Nodes of some classes at a level of new trees."""
+    rows = written(_children(classes.join(some, "class"), trees, share), "further")
     for _ in range(level // LEVELS):
-        shared = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = written(shared, "shared")
-        both = heavy_split(rows, shared, "node", "n", rows.count()).select("node", "class")
-        lower = written(_below(both, classes, share), "further")
+        shared = _shared(rows)
+        lower = written(_below(shared, classes, share), "further")
         forget(rows, shared)
         rows = lower
     return rows
 
 
 def _grow(
-    join: _Join, nodes: DataFrame, classes: DataFrame, share: float, trees: range | None = None
+    join: _Join, nodes: DataFrame, classes: DataFrame, share: float, trees: int
 ) -> None:
-    """Compare within nodes, given as (node, class), and below them until none is open.
+    """Compare within nodes, given as (node, class, size), and below them until none is open.
 
-    ``trees`` are the numbers of the trees that the nodes are from. If given, classes in open
-    nodes get as many further trees as the level below needs.
+    The nodes are from so many trees. Classes in open nodes get as many further trees as the
+    level below needs, and ``FIRST_TREES`` more.
     Components are worked out once a level. What is not known of them in between only costs
     some pairs more.
     """
     below, level = written(nodes, "members"), 1
     while below is not None:
-        members = _with_leaders(below.join(classes.select("class", "size"), "class"))
+        members = _shared(below)
         forget(below)
         if join.labels is not None:
             settled = members
@@ -659,12 +690,11 @@ def _grow(
         else:
             level += LEVELS
             lower = [_below(large, classes, share)]
-            if trees is not None:
-                stop = max(trees.stop, trees.start + trees_for(level, share, join.percent))
-                more, trees = range(trees.stop, stop), range(trees.start, stop)
-                if more:
-                    some = large.select("class").distinct()
-                    lower.append(_rooted(some, more, classes, share, level))
+            wanted = max(trees, FIRST_TREES + trees_for(level, share, join.percent))
+            more, trees = range(trees, wanted), wanted
+            if more:
+                some = large.select("class").distinct()
+                lower.append(_rooted(some, more, classes, share, level))
             below = lower[0] if len(lower) == 1 else lower[0].unionByName(lower[1])
             below = written(below, "members")
             forget(*lower)
@@ -674,7 +704,7 @@ def _grow(
 
 def _open(join: _Join, members: DataFrame) -> DataFrame:
     """Members of the nodes that span several components, and whether those are small."""
-    plain = members.select("node", "class", "size", "n", "leads")
+    plain = members.select("node", "class", "size", "n")
     own = written(join.labelled(plain), "labelled")
     parts = own.groupBy("node", "component").agg(F.count(F.lit(1)).cast("double").alias("size"))
     nodes = parts.groupBy("node").agg(
@@ -684,8 +714,7 @@ def _open(join: _Join, members: DataFrame) -> DataFrame:
         "node", F.col("n").alias("members"),
         ((F.col("pairs") <= OPEN_PAIRS) & (F.col("n") <= MEMBERS)).alias("is_small"),
     )
-    rows = own.select("node", "class", "size", "n", "leads", "component")
-    out = written(heavy_split(rows, written(nodes, "open-nodes"), "node", "members", own.count()), "open")
+    out = written(heavy_split(own, written(nodes, "open-nodes"), "node", "members", own.count()), "open")
     forget(own)
     return out
 

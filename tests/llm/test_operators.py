@@ -464,3 +464,45 @@ def test_texts_alike_below_the_threshold_make_no_pairs(spark, monkeypatch):
     got = near_duplicates(docs(spark, *texts), k=4).collect()
     assert all(r.kept for r in got) and len(got) == 120
     assert sum(asked) < 120
+
+
+def test_pairs_that_meet_in_many_nodes_are_told_once(spark):
+    rng = random.Random(14)
+    sets = list(neardup.shingle_sets(_template_texts(rng, 30, 150, [0, 1, 2]), 4))
+    nodes = [sorted(rng.sample(range(-40, 40), 25)) for _ in sets]
+    rows = [(v, i, i % 9, len(x), bytearray(neardup.parity_sketch(x).tobytes()), held)
+            for i, (x, held) in enumerate(zip(sets, nodes)) for v in held]
+    table = spark.createDataFrame(
+        rows, "node bigint, class bigint, component bigint, size bigint, sketch binary, nodes array<bigint>"
+    ).repartition(5, "node").sortWithinPartitions("node")
+    found = table.mapInArrow(neardup._within_nodes(80), "a bigint, b bigint").collect()
+    want = set()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            common = len(np.intersect1d(x, y))
+            if i % 9 != j % 9 and set(nodes[i]) & set(nodes[j]):
+                if 100 * common >= 80 * (len(x) + len(y) - common):
+                    want.add((j, i))
+    got = [(r.a, r.b) for r in found]
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 50
+
+
+def test_tree_nodes_are_made_without_moving_classes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, 5, rng.integers(0, 3, 64).tolist()) for i in range(50)]
+    classes = spark.createDataFrame(rows, "class bigint, size bigint, tokens array<int>")
+    nodes = neardup._children(classes, range(16), 100 / 80 / 64)
+    assert "hashpartitioning" not in nodes._jdf.queryExecution().executedPlan().toString()
+    assert nodes.columns == ["node", "class", "size"] and nodes.count() > 50
+    assert nodes.count() == nodes.distinct().count()
+
+
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(15)
+    names = rng.sample(range(1000), 60)
+    edges = list(zip(names[:30], names[1:30])) + [(names[30], x) for x in names[31:50]]
+    edges += [(names[i], names[i + 1]) for i in range(50, 60, 2)] + edges[:3]
+    links = spark.createDataFrame([(min(e), max(e)) for e in edges], "a bigint, b bigint")
+    got = {(r["class"], r["component"]) for r in neardup.components(links).collect()}
+    groups = [names[:30], names[30:50]] + [names[i : i + 2] for i in range(50, 60, 2)]
+    assert got == {(x, min(g)) for g in groups for x in g}
